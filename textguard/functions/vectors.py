@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +20,16 @@ def array_sum(c: Column | str) -> Column:
     return F.aggregate(_col(c), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once; inside a lambda it would run per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column | str) -> Column:
     """Shifted by the maximum, so large logits do not overflow."""
     z = as_doubles(logits)
-    exps = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(exps, lambda x: x / array_sum(exps))
+    exps = let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    return let(exps, lambda e: let(array_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(values: Column | str) -> Column:
@@ -38,6 +45,8 @@ def classify_logits(logits: Column | str) -> Column:
 
 
 def l2_normalize(values: Column | str) -> Column:
-    v = as_doubles(values)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(norm, lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
+
+    return let(as_doubles(values), scaled)

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,41 +14,46 @@ from textguard.functions import text as T
 from textguard.functions.stopwords import resolve_stop_words
 from textguard.operators.aggregate_vectors import BROADCAST_BYTES
 from textguard.operators.vectorize import vocabulary
-from textguard.session import cut_lineage
+from textguard.session import cut_lineage, expanding_partitions
 
-SLICE = 512  # terms of a document handled by one work item
-BUFFER = 2_000_000  # pair products held before they are added up
+SLICE = 128  # terms of a document handled by one work item
+BUFFER = 4_000_000  # pair products held before they are added up
 
 
-def _block_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slice_pairs(codes: np.ndarray, counts: np.ndarray, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and products of the terms ``start .. start + SLICE`` with all later terms."""
+    size = len(codes)
+    first = np.arange(start, min(start + SLICE, size))
+    later = size - 1 - first
+    i = np.repeat(first, later)
+    j = np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later) + i + 1
+    return codes[i] * width + codes[j], counts[i] * counts[j]
+
+
+def _block_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Upper triangle of X'X for the documents of a batch, added up before it leaves the task."""
     for batch in batches:
-        codes, names = pd.factorize(np.concatenate([np.asarray(w) for w in batch["words"]]), sort=True)
-        width = len(names)
-        keys, values, held, done = [], [], 0, []
+        ids, counts = (batch.column(c).flatten().to_numpy() for c in ("ids", "counts"))
+        names, codes = np.unique(ids, return_inverse=True)
+        ends = np.cumsum(batch.column("ids").value_lengths().to_numpy())
+        keys, values, held = [], [], 0
 
-        def add_up():
+        def add_up() -> pa.RecordBatch:
             found, place = np.unique(np.concatenate(keys), return_inverse=True)
-            done.append((found, np.bincount(place, weights=np.concatenate(values)).astype("int64")))
-            keys.clear(), values.clear()
-
-        at = 0
-        for counts, start in zip(batch["counts"], batch["start"]):
-            c = np.asarray(counts, dtype="int64")
-            code = codes[at : at + len(c)].astype("int64")
-            at += len(c)
-            for i in range(start, min(start + SLICE, len(c))):
-                # words are sorted, so codes ascend and (i, later) is the upper triangle
-                keys.append(code[i] * width + code[i + 1 :])
-                values.append(c[i] * c[i + 1 :])
-                held += len(c) - i - 1
-                if held >= BUFFER:
-                    add_up()
-                    held = 0
-        if keys:
-            add_up()
-        for found, x in done:
-            yield pd.DataFrame({"w1": names[found // width], "w2": names[found % width], "x": x})
+            x = np.bincount(place, weights=np.concatenate(values)).astype("int64")
+            return pa.RecordBatch.from_pydict({"i": names[found // len(names)], "j": names[found % len(names)], "x": x})
+
+        begin = 0
+        for end, start in zip(ends, batch.column("start").to_numpy()):
+            key, value = _slice_pairs(codes[begin:end], counts[begin:end], int(start), len(names))
+            begin = end
+            keys.append(key), values.append(value)
+            held += len(key)
+            if held >= BUFFER:
+                yield add_up()
+                keys, values, held = [], [], 0
+        if held:
+            yield add_up()
 
 
 def cooccurrence(
@@ -61,30 +67,34 @@ def cooccurrence(
 ) -> DataFrame:
     """(w1, w2, x): sum over documents of the product of the two words' counts, diagonal left out.
 
-    The vocabulary is cut by ``min_df``/``max_df`` first. A long document is split into slices
-    of its terms that go to different tasks, and products are added up inside each task, so
-    neither a long document nor a frequent pair piles up in one place.
+    The vocabulary is cut by ``min_df``/``max_df`` first and numbered (checkpointed, so that the
+    numbers stay the same if a task is repeated). A long document is split into slices of its terms
+    that go to different tasks, and products are added up inside each task, so neither a long
+    document nor a frequent pair piles up in one place.
     """
     words = resolve_stop_words(stop_words)
     docs = df.select(id_col, F.coalesce(T.tokenize(text_col, stop_words=words, min_chars=1), F.array()).alias("tok"))
-    vocab = vocabulary(docs, "tok", min_df, max_df).select("term")
+    vocab = vocabulary(docs, "tok", min_df, max_df).select("term", F.monotonically_increasing_id().alias("id"))
+    vocab = cut_lineage(vocab)
     tf = docs.select(id_col, F.explode("tok").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
-    rows = tf.join(vocab, "term").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("t"))
-    rows = rows.where(F.size("t") > 1)
+    terms = F.array_sort(F.collect_list(F.struct("id", "n")))
+    rows = tf.join(vocab, "term").groupBy(id_col).agg(terms.alias("t")).where(F.size("t") > 1)
     slices = rows.select(
         id_col,
-        F.col("t.term").alias("words"),
+        F.col("t.id").alias("ids"),
         F.col("t.n").alias("counts"),
         F.explode(F.sequence(F.lit(0), F.size("t") - 1, F.lit(SLICE))).alias("start"),
-    ).repartition(F.col(id_col), F.col("start"))
-    pairs = slices.select("words", "counts", "start").mapInPandas(_block_products, "w1 string, w2 string, x long")
-    half = pairs.groupBy("w1", "w2").agg(F.sum("x").alias("x"))
-    if not mirror:
-        return half
-    both = F.array(
-        F.struct(F.col("w1").alias("w1"), F.col("w2").alias("w2")), F.struct(F.col("w2").alias("w1"), F.col("w1").alias("w2"))
+    ).repartition(expanding_partitions(df.sparkSession), F.col(id_col), F.col("start"))
+    pairs = slices.select("ids", "counts", "start").mapInArrow(_block_products, "i long, j long, x long")
+    half = pairs.groupBy("i", "j").agg(F.sum("x").alias("x"))
+    named = half.join(vocab.select(F.col("id").alias("i"), F.col("term").alias("a")), "i").join(
+        vocab.select(F.col("id").alias("j"), F.col("term").alias("b")), "j"
     )
-    return half.select(F.inline(both), "x")
+    one_way = F.struct(F.least("a", "b").alias("w1"), F.greatest("a", "b").alias("w2"))
+    if not mirror:
+        return named.select(F.inline(F.array(one_way)), "x")
+    other_way = F.struct(F.greatest("a", "b").alias("w1"), F.least("a", "b").alias("w2"))
+    return named.select(F.inline(F.array(one_way, other_way)), "x")
 
 
 # --- vectors from co-occurrences -------------------------------------------------------------------

@@ -8,6 +8,8 @@ totals are carried forward over the few buckets of a key, and the two are combin
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -49,10 +51,13 @@ def running(
     carried = (
         df.groupBy(*keys, bucket).agg(total.alias("_total")).withColumn("_carry", agg("_total").over(before)).drop("_total")
     )
-    out = df.withColumn("_local", agg("_value").over(inside)).join(carried, [*keys, bucket])
+    on = [*keys, bucket]
+    carried = carried.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], "_carry")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)])
+    out = df.withColumn("_local", agg("_value").over(inside)).join(carried, same)
     merged = {
         "max": F.greatest("_local", "_carry"),
         "last": F.coalesce("_local", "_carry"),
         "sum": F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0)),
     }[how]
-    return out.withColumn(name, merged).drop("_value", "_local", "_carry")
+    return out.withColumn(name, merged).drop("_value", "_local", "_carry", *[f"_k{i}" for i in range(len(on))])

@@ -46,3 +46,11 @@ def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows of {what}")
     return rows
+
+
+def expanding_partitions(spark: SparkSession) -> int:
+    """Partitions for a stage whose output is far larger than its input.
+
+    Adaptive execution sizes partitions by their input and would merge such a stage into few tasks.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
