@@ -86,8 +86,12 @@ def fit_voting(
     """
     if voting not in ("soft", "hard"):
         raise ValueError("voting must be soft or hard")
-    jobs = {k: (lambda k=k, p=p: fit_model(train, k, p, seed)) for k, p in (members or {}).items()}
-    models = {**(fitted or {}), **fit_many(jobs)}
+    frame = train.persist()
+    jobs = {k: (lambda k=k, p=p: fit_model(frame, k, p, seed, cached=True)) for k, p in (members or {}).items()}
+    try:
+        models = {**(fitted or {}), **fit_many(jobs)}
+    finally:
+        frame.unpersist()
     if voting == "soft" and not all(has_probability(m, train) for m in models.values()):
         warnings.warn("a member has no probabilities: hard voting is used", stacklevel=2)
         voting = "hard"
@@ -110,7 +114,7 @@ def out_of_fold(
 ) -> DataFrame:
     """Probabilities of each row from models that did not see its fold."""
     jobs = {
-        (m, f): (lambda m=m, f=f: fit_model(folded.where(F.col("fold") != f), m, members[m], seed))
+        (m, f): (lambda m=m, f=f: fit_model(folded.where(F.col("fold") != f), m, members[m], seed, cached=True))
         for m in members
         for f in range(k)
     }
@@ -140,7 +144,7 @@ def fit_stacking(
         meta_model = meta.copy({meta.featuresCol: "_meta", meta.labelCol: label}).fit(
             assembler.transform(scored).select("_meta", label)
         )
-        final = fit_many({m: (lambda m=m: fit_model(folded, m, members[m], seed)) for m in members})
+        final = fit_many({m: (lambda m=m: fit_model(folded, m, members[m], seed, cached=True)) for m in members})
     finally:
         folded.unpersist()
     return StackingModel(final, assembler, meta_model)
@@ -157,7 +161,7 @@ def fold_scores(
     """(model, fold, n, accuracy, precision, recall, f1) for ``{name: (key, parameters)}``."""
     folded = assign_folds(df, k, label, id_col, seed).persist()
     jobs = {
-        (name, f): (lambda key=key, p=p, f=f: fit_model(folded.where(F.col("fold") != f), key, p, seed))
+        (name, f): (lambda key=key, p=p, f=f: fit_model(folded.where(F.col("fold") != f), key, p, seed, cached=True))
         for name, (key, p) in members.items()
         for f in range(k)
     }

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -46,6 +45,7 @@ KNOWN_PARAMS = {
     "mlp": {"hidden_layer_sizes", "max_iter"},
 }
 MAX_TREE_DEPTH = 30
+ROWS_PER_TASK = 2_000
 
 
 def resolve_params(key: str, params: Mapping[str, Any] | None = None) -> dict[str, Any]:
@@ -122,15 +122,26 @@ def gamma_of(train: DataFrame, gamma: str | float, n_features: int, features: st
 
 
 def fit_model(
-    train: DataFrame, key: str, params: Mapping[str, Any] | None = None, seed: int = SEED, label: str = "type", id_col: str = "doc_id"
+    train: DataFrame,
+    key: str,
+    params: Mapping[str, Any] | None = None,
+    seed: int = SEED,
+    label: str = "type",
+    id_col: str = "doc_id",
+    cached: bool = False,
 ) -> PipelineModel:
     """Fit one classifier on a frame with ``features`` and 0/1 labels.
 
+    Solvers pass over the data many times, so the frame should come from a cache; ``cached`` says
+    that it does, and lets a small one be read by few tasks (a large one keeps its partitions).
+
     Kernel machines become an explicit feature map and a linear machine. With ``probability`` the
     margin is calibrated by a logistic curve fitted on a held-out fifth, then refitted on all rows.
     """
     p = resolve_params(key, params)
     n_train = train.count()
+    if cached:
+        train = train.coalesce(max(1, -(-n_train // ROWS_PER_TASK)))
     n_features = int(train.select("features").first()["features"].size)
     stages: list[Transformer] = []
     frame = train
@@ -168,7 +179,7 @@ def fit_many(jobs: Mapping[str, Any], threads: int = 4) -> dict[str, Any]:
     if not jobs:
         return {}
     with ThreadPool(min(threads, len(jobs))) as pool:
-        results = pool.map(inheritable_thread_target(lambda job: job()), list(jobs.values()))
+        results = pool.map(lambda job: job(), list(jobs.values()))
     return dict(zip(jobs, results))
 
 

@@ -98,8 +98,11 @@ def dedup_keep_first(df: DataFrame, column: str = "text", id_col: str = "doc_id"
 
     Only digests that occur more than once are joined back. Grouping combines on the map side, so
     a text that fills a third of the corpus reaches its reducer as one row per task; the join side
-    holds repeated digests only, and adaptive execution broadcasts it or splits the hot key.
+    holds repeated digests only, and adaptive execution broadcasts it or splits the hot key. A frame
+    without ``id_col`` is taken in scan order (it must come straight from a scan).
     """
+    if id_col not in df.columns:
+        return dedup_keep_first(df.withColumn(id_col, F.monotonically_increasing_id()), column, id_col).drop(id_col)
     digest = F.coalesce(text_digest(column), F.unhex(F.lit("00")))
     repeated = (
         df.groupBy(digest.alias("_digest"))

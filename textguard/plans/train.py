@@ -46,7 +46,7 @@ def train_routes(
     frame = features.select("doc_id", label, "split", "features").persist()
     try:
         train = frame.where("split = 'train'")
-        models = fit_many({k: (lambda k=k: fit_model(train, k, (params or {}).get(k), seed, label)) for k in keys})
+        models = fit_many({k: (lambda k=k: fit_model(train, k, (params or {}).get(k), seed, label, cached=True)) for k in keys})
         report = None
         for key, model in models.items():
             scored = score(frame.where("split = 'test'"), model).select(F.lit(key).alias("model"), label, "pred")
