@@ -154,7 +154,7 @@ def dedup_keep_first(spark, sf):
       CASE WHEN CAST(100 AS DOUBLE) * (total - uniq) / total < 1 THEN 'OK' ELSE 'DUPLICATES' END AS status FROM r""",
 )
 def duplicate_report(spark, sf):
-    report = quality.duplicate_report(table(spark, sf, "documents"))
+    report = quality.duplicate_report(texts(spark, sf))
     return report.withColumn("pct_dup", F.round("pct_dup", 6))
 
 
@@ -164,7 +164,7 @@ def duplicate_report(spark, sf):
     WHERE n > 1""",
 )
 def duplicated_rows(spark, sf):
-    return quality.duplicated_rows(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text")
+    return quality.duplicated_rows(texts(spark, sf).select("doc_id", "source", "text")).drop("text")
 
 
 @query(
@@ -177,7 +177,7 @@ def duplicated_rows(spark, sf):
 )
 def text_overlap(spark, sf):
     """The two halves of the corpus (even and odd ids) play the train and the test part."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     out = quality.text_overlap(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
     return out.withColumn("pct_of_test", F.round("pct_of_test", 6))
 
@@ -191,7 +191,7 @@ def text_overlap(spark, sf):
       round(CAST(100 AS DOUBLE) * (SELECT count(*) FROM a JOIN b USING (t)) / (SELECT count(*) FROM b), 6) AS pct_of_test""",
 )
 def benchmark_overlap(spark, sf):
-    out = quality.text_overlap(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    out = quality.text_overlap(texts(spark, sf), table(spark, sf, "benchmark"))
     return out.withColumn("pct_of_test", F.round("pct_of_test", 6))
 
 

@@ -35,3 +35,16 @@ EMOJI = (
 TOKEN_2PLUS = WORD_CHAR + "{2,}"
 TOKEN_1PLUS = WORD_CHAR + "+"
 ASCII_ONLY = r"^[\x00-\x7F]*$"
+
+# --- forms for the Java engine only: same meaning, cheaper to match ------------------------------
+
+# Code points of WS as characters, for trimming from both ends without a regular expression.
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+# One wide range rules out letters before the exact class is consulted.
+SPACE_RUN = f"[\\x09-\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}-\\x{{3000}}&&[{WS}]]+"
+_SYMBOL = r"[!-/:-@\[-`{-\x{10FFFF}\x00-\x1F]"
+_SEPARATOR = r"[\x00-/:-@\[-`{-\x{10FFFF}]"
+# Runs of separators that are not already one plain space.
+SEPARATOR_RUN = f" ?{_SYMBOL}{_SEPARATOR}*+|  {_SEPARATOR}*+"

@@ -21,8 +21,21 @@ def _count(c: Column | str, pattern: str) -> Column:
     return F.regexp_count(_col(c), F.lit(pattern)).cast("int")
 
 
+def strip_spaces(c: Column | str) -> Column:
+    """Trim all Unicode white space (``trim`` alone removes only U+0020)."""
+    return F.btrim(_col(c), F.lit(P.WS_CHARS))
+
+
 def count_words(c: Column | str) -> Column:
-    return _count(c, P.PIECE)
+    """White-space pieces: one more than the runs of white space inside the trimmed text."""
+    t = strip_spaces(c)
+    return F.when(t == "", 0).otherwise(_count(t, P.SPACE_RUN) + 1).cast("int")
+
+
+def has_more_words(c: Column | str, n: int) -> Column:
+    """``count_words(c) > n`` without reading past the first ``n + 1`` words."""
+    run = f"(?:{P.NON_WS}++{P.SPACES}+){{{n}}}{P.NON_WS}"
+    return _col(c).rlike(run)
 
 
 def count_characters(c: Column | str) -> Column:
@@ -92,8 +105,8 @@ def clean_text(
     if handle_emoji:
         t = strip_emoji(t)
     t = F.regexp_replace(t, P.RETWEET, "")
-    t = F.regexp_replace(t, P.NOT_ALNUM, " ")
-    return F.trim(F.lower(F.regexp_replace(t, P.SPACES, " ")))
+    # blanking everything but letters and digits and squeezing the result is one replacement
+    return F.trim(F.lower(F.regexp_replace(t, P.SEPARATOR_RUN, " ")))
 
 
 def clean_light(
@@ -144,8 +157,8 @@ def tokenize(c: Column | str, *, stop_words: Sequence[str] = (), min_chars: int
 
 def split_words(c: Column | str, *, lowercase: bool = False) -> Column:
     """White-space pieces, as used for word vectors (lower-cased for lookup only)."""
-    c = _col(c)
-    return F.regexp_extract_all(F.lower(c) if lowercase else c, F.lit(P.PIECE), F.lit(0))
+    t = strip_spaces(F.lower(_col(c)) if lowercase else c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, P.SPACE_RUN))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

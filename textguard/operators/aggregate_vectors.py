@@ -114,13 +114,14 @@ def _by_lookup(df, word_vectors, method, text_col, schema, size):
         places, values = table.value
         for batch in batches:
             vectors = []
-            for words in batch.pop("_words"):
-                hits = [places[w] for w in (words if words is not None else ()) if w in places]
+            for text in batch[text_col]:
+                words = text.lower().split() if isinstance(text, str) else ()
+                hits = [places[w] for w in words if w in places]
                 vectors.append(_reduce(values[hits], method, size))
             batch[output] = vectors
             yield batch
 
-    return df.withColumn("_words", split_words(text_col, lowercase=True)).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
 
 
 def _by_join(df, word_vectors, method, text_col, id_col, output, size):

@@ -5,17 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.errors import DatasetColumnMismatchError
 from textguard.functions.hashing import text_digest
-from textguard.functions.patterns import EDGE_SPACES
-
-
-def strip_spaces(c: Column | str) -> Column:
-    """Trim all Unicode white space (``trim`` alone removes only U+0020)."""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, EDGE_SPACES, "")
+from textguard.functions.text import has_more_words, strip_spaces
 
 
 # --- filters -----------------------------------------------------------------------------------
@@ -34,8 +29,9 @@ def length_between(df: DataFrame, low: int = 3, high: int = 10_000, column: str
     return df.where(F.length(column).between(low, high))
 
 
-def min_words(df: DataFrame, words_col: str = "text_words", more_than: int = 3) -> DataFrame:
-    return df.where(F.col(words_col) > more_than)
+def min_words(df: DataFrame, column: str = "text", more_than: int = 3) -> DataFrame:
+    """More than ``more_than`` words in the text as it is."""
+    return df.where(has_more_words(column, more_than))
 
 
 def search(

@@ -92,8 +92,8 @@ def apply_feature_engineering(
 
     The filter looks at the raw word count (``min_words_on='clean'`` counts after cleaning).
     """
-    out = df.withColumns({f"{column}_{name}": fn(column) for name, fn in T.TEXT_STATS.items()})
-    if min_words_on == "raw":  # filter first: dropped rows need no cleaning
-        return min_words(out, f"{column}_words", more_than).withColumn(column, T.clean_text(column, **clean_options))
+    # filter before computing anything: dropped rows need neither statistics nor cleaning
+    out = min_words(df, column, more_than) if min_words_on == "raw" else df
+    out = out.withColumns({f"{column}_{name}": fn(column) for name, fn in T.TEXT_STATS.items()})
     out = out.withColumn(column, T.clean_text(column, **clean_options))
-    return out.where(T.count_words(column) > more_than)
+    return out if min_words_on == "raw" else min_words(out, column, more_than)
