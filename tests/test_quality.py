@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textguard.errors import DatasetColumnMismatchError
 from textguard.operators import quality as Q
 from textguard.operators import sampling as S
-from textguard.operators.ordered import running
+from textguard.operators.ordered import balanced_buckets, running
 from textguard.operators.validate import apply_feature_engineering, validate_and_preprocess
 
 
@@ -118,6 +118,11 @@ def test_folds_are_balanced_and_keep_all_rows(spark):
         assert max(sizes.values()) - min(sizes.get(f, 0) for f in range(5)) <= 1
 
 
+def test_folds_without_labels(spark):
+    out = S.assign_folds(spark.range(11).withColumnRenamed("id", "doc_id"), 3, None).collect()
+    assert sorted(Counter(r["fold"] for r in out).values()) == [3, 4, 4]
+
+
 def test_running_values_equal_brute_force(spark):
     rows = [(i, (i * 7) % 5 if i % 3 else None, i // 10, "k" if i % 2 else None) for i in range(95)]
     df = spark.createDataFrame(rows, "i int, v int, b int, k string")
@@ -133,3 +138,11 @@ def test_running_values_equal_brute_force(spark):
         assert r["prev"] == next((v for v in reversed(past) if v is not None), None)
         assert r["n"] == len(past)
         past.append(r["v"])
+
+
+def test_buckets_follow_the_data(spark):
+    """A third of all rows within one unit of time is still cut into buckets of bounded size."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id") / 3000.0).otherwise(F.col("id") * 1.0).alias("t"))
+    rows = sorted((r["t"], r["b"]) for r in balanced_buckets(df, "b", F.col("t"), 30).collect())
+    assert [b for _, b in rows] == sorted(b for _, b in rows)
+    assert max(Counter(b for _, b in rows).values()) <= 3 * 3000 / 30

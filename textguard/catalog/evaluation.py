@@ -286,8 +286,7 @@ def dataset_summary(spark, sf):
     round(max(f1) OVER (ORDER BY start_time, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_f1 FROM ({_RUNS_SQL})""",
 )
 def metric_evolution(spark, sf):
-    day = F.to_date("start_time")
-    out = reports.metric_evolution(runs(spark, sf), "f1", ["start_time", "run_id"], day)
+    out = reports.metric_evolution(runs(spark, sf), "f1")
     return out.select("run_id", "test_number", F.round("best_f1", 6).alias("best_f1"))
 
 

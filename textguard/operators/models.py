@@ -45,7 +45,7 @@ KNOWN_PARAMS = {
     "mlp": {"hidden_layer_sizes", "max_iter"},
 }
 MAX_TREE_DEPTH = 30
-ROWS_PER_TASK = 2_000
+ROWS_PER_TASK = 10_000
 
 
 def resolve_params(key: str, params: Mapping[str, Any] | None = None) -> dict[str, Any]:

@@ -1,8 +1,8 @@
 """Running values along an order without ranking a whole key in one task.
 
 A window partitioned by key alone puts a hot key (or, without a key, everything) into one task.
-Here the order is cut into buckets (a day, an hour): windows run inside (key, bucket), bucket
-totals are carried forward over the few buckets of a key, and the two are combined.
+Here the order is cut into buckets of about equal row counts: windows run inside (key, bucket),
+bucket totals are carried forward over the few buckets of a key, and the two are combined.
 """
 
 from __future__ import annotations
@@ -16,6 +16,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def balanced_buckets(df: DataFrame, name: str, column: Column, buckets: int = 200) -> DataFrame:
+    """Add ``name``: the quantile bucket of a numeric ``column``.
+
+    Buckets follow the data, so a busy day is cut finer than a quiet one and no bucket holds much
+    more than its share of all rows, even if one key or one hour has a third of them.
+    """
+    marks = F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10 * buckets)
+    out = df.withColumn("_bounds", df.agg(marks.alias("b")).scalar())
+    place = F.coalesce(F.size(F.filter("_bounds", lambda b: b < column)), F.lit(0))
+    return out.withColumn(name, place).drop("_bounds")
+
+
+def seconds(column: str) -> Column:
+    """Seconds since the epoch of a timestamp column (with or without time zone)."""
+    return F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1e6)
+
+
 def running(
     df: DataFrame,
     name: str,

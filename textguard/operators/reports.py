@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.operators.ordered import running
+from textguard.operators.ordered import balanced_buckets, running, seconds
 from textguard.operators.quality import isin_or_null, match_metadata
 
 METRICS = ("accuracy", "precision", "recall", "f1")
@@ -110,13 +110,11 @@ def melt_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str] = MET
 
 
 def metric_evolution(
-    tests: DataFrame, metric: str, order: Sequence[str], bucket: Column, keys: Sequence[str] = ()
+    tests: DataFrame, metric: str, time_col: str = "start_time", tie: str = "run_id", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Test number (from 0) and best value so far, along ``order``.
-
-    ``bucket`` coarsens the order (a day of the start time), see :mod:`textguard.operators.ordered`.
-    """
-    out = tests.withColumn("_bucket", bucket)
+    """Test number (from 0) and best value so far in time order (see :mod:`textguard.operators.ordered`)."""
+    order = [time_col, tie]
+    out = balanced_buckets(tests, "_bucket", seconds(time_col))
     out = running(out, "test_number", F.lit(1).cast("long"), "sum", keys, "_bucket", order, inclusive=False)
     out = running(out, f"best_{metric}", F.col(metric), "max", keys, "_bucket", order)
     return out.drop("_bucket")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textguard.operators.ordered import running
+from textguard.operators.ordered import balanced_buckets, running, seconds
 
 
 @dataclass(frozen=True)
@@ -69,13 +69,13 @@ def lockout(
         F.col(user).alias("user"),
         F.col(ts).alias("ts"),
         F.col(ok).cast("boolean").alias("ok"),
-        (F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)).alias("sec"),
-        F.to_date(ts).alias("day"),
+        seconds(ts).alias("sec"),
     )
+    rows = balanced_buckets(rows, "bucket", F.col("sec"))
     order = ["sec", "tie"]
-    rows = running(rows, "before", F.col("sec"), "last", ["user"], "day", order, inclusive=False)
+    rows = running(rows, "before", F.col("sec"), "last", ["user"], "bucket", order, inclusive=False)
     begins = F.col("before").isNull() | (F.col("sec") - F.col("before") >= pause)
-    rows = running(rows, "session", F.when(begins, F.col("sec")), "last", ["user"], "day", order)
+    rows = running(rows, "session", F.when(begins, F.col("sec")), "last", ["user"], "bucket", order)
     sessions = rows.repartition("user", "session").sortWithinPartitions("user", "session", "sec", "tie")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
