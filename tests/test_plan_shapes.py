@@ -8,7 +8,7 @@ from textguard.operators import quality
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # these run Arrow functions by design
-PYTHON = {"cooccurrence", "token_vector_lookup"}
+PYTHON = {"cooccurrence", "token_vector_lookup", "lockout"}
 NATIVE = sorted(set(ORACLES) - PYTHON)
 
 

@@ -167,3 +167,13 @@ def test_featurise_writes_a_partition(spark, docs, tmp_path):
     featurise(docs.where("text IS NOT NULL"), "bow", str(tmp_path / "f"), max_features=5, stop_words=STOP)
     back = spark.read.parquet(str(tmp_path / "f")).where(F.col("embedding") == "bow")
     assert "text_words" in back.columns and back.count() == sum(len((t or "").split()) > 3 for t in CORPUS)
+
+
+def test_sequence_classifier_batches(docs):
+    def make():
+        return lambda texts: np.array([[0.0, float("red" in str(t))] for t in texts], dtype="float32")
+
+    for r in V.classify_batch(docs, make, batch_size=4).collect():
+        hit = "red" in (r["text"] or "")
+        assert r["pred"] == int(hit) and sum(r["probs"]) == pytest.approx(1.0)
+        assert r["confidence"] == pytest.approx(1 / (1 + math.exp(-1)) if hit else 0.5)

@@ -153,7 +153,26 @@ def onehot_proba(spark, sf):
     return s.select("doc_id", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[1], 6).alias("p1"))
 
 
-@query("lockout")
+_WINDOW, _LOCK = 72 * 3600.0, 900.0
+
+
+@query(
+    "lockout",
+    f"""WITH RECURSIVE a AS (SELECT user_id, epoch(ts) AS sec, event_type = 'purchase' AS ok,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'purchase')),
+    s AS (
+      SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS fails, CAST(NULL AS DOUBLE) AS until, CAST(NULL AS VARCHAR) AS outcome
+      FROM (SELECT DISTINCT user_id FROM a)
+      UNION ALL
+      SELECT user_id, rn,
+        CASE WHEN locked THEN fails WHEN trip OR ok THEN CAST([] AS DOUBLE[]) ELSE list_append(recent, sec) END,
+        CASE WHEN locked THEN until WHEN trip THEN sec + {_LOCK} END,
+        CASE WHEN locked OR trip THEN 'rejected' WHEN ok THEN 'accepted' ELSE 'failed' END
+      FROM (SELECT *, NOT locked AND len(recent) >= 5 AS trip FROM (
+        SELECT *, list_filter(CASE WHEN until IS NOT NULL AND NOT locked THEN CAST([] AS DOUBLE[]) ELSE fails END, lambda t: t > sec - {_WINDOW}) AS recent
+        FROM (SELECT a.*, s.fails, s.until, coalesce(a.sec < s.until, false) AS locked FROM s JOIN a ON a.user_id = s.user_id AND a.rn = s.rn + 1))))
+    SELECT user_id, outcome, CAST(count(*) AS BIGINT) AS n FROM s WHERE rn > 0 GROUP BY user_id, outcome""",
+)
 def lockout(spark, sf):
     """Errors are failures, purchases successes; with the default hour nobody would ever be locked."""
     attempts = (
@@ -161,6 +180,6 @@ def lockout(spark, sf):
         .where(F.col("event_type").isin("error", "purchase"))
         .select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("ok"))
     )
-    rules = LockoutRules(window_seconds=72 * 3600.0)
+    rules = LockoutRules(window_seconds=_WINDOW, lockout_seconds=_LOCK)
     out = lockout_batch(attempts, rules)
     return out.groupBy("user_id", "outcome").agg(F.count("*").alias("n"))

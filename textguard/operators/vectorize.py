@@ -22,7 +22,7 @@ from textguard.errors import UnknownMethodError
 from textguard.functions import text as T
 from textguard.functions.patterns import WORD_CHAR
 from textguard.functions.stopwords import resolve_stop_words
-from textguard.functions.vectors import l2_normalize
+from textguard.functions.vectors import classify_logits, l2_normalize
 from textguard.operators.aggregate_vectors import document_vectors
 
 TERMS = "_terms"
@@ -35,7 +35,7 @@ def vocabulary(
     max_df: float = 0.95,
     max_features: int | None = None,
 ) -> DataFrame:
-    """(term, df, tot) of an array column; the ``max_features`` most frequent, ties by term.
+    """(term, df, tot, n_docs) of an array column; the ``max_features`` most frequent, ties by term.
 
     Occurrences and first occurrences of a document are counted in one grouping by term, without
     regrouping by (document, term).
@@ -50,7 +50,7 @@ def vocabulary(
         .agg(F.sum(F.col("m.new").cast("long")).alias("df"), F.sum((1 - F.col("m.new")).cast("long")).alias("tot"))
     )
     n_docs = docs.agg(F.count("*")).scalar()
-    kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n_docs))
+    kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n_docs)).withColumn("n_docs", n_docs)
     return kept if max_features is None else kept.orderBy(F.desc("tot"), "term").limit(max_features)
 
 
@@ -112,7 +112,7 @@ class TextVectorizer(Estimator):
         stages = [extract, counts]
         drop = [TERMS]
         if self.method == "tfidf":
-            n = dataset.count()
+            n = found[0]["n_docs"]
             idf = [float(np.log((1.0 + n) / (1.0 + r["df"])) + 1.0) for r in kept]
             stages += [
                 ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_counts", outputCol="_weighted"),
@@ -191,6 +191,18 @@ def embed_batch(
     return out.withColumn(output, l2_normalize(output)) if normalize else out
 
 
+def classify_batch(
+    df: DataFrame, make_predict_fn: Callable[[], Callable], text_col: str = "text", batch_size: int = 32
+) -> DataFrame:
+    """Add pred, confidence and probs from a user-supplied sequence classifier that returns raw scores."""
+    scores = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    out = df.withColumn("_logits", scores(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.withColumn("_c", classify_logits("_logits"))
+    return out.select(
+        *df.columns, F.col("_c.label").alias("pred"), F.col("_c.confidence").alias("confidence"), F.col("_c.probs").alias("probs")
+    )
+
+
 def hashing_encoder(size: int = 64) -> Callable[[], Callable]:
     """A stand-in encoder without weights: signed feature hashing of lower-case word pieces."""
 
