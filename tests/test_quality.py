@@ -118,6 +118,11 @@ def test_folds_are_balanced_and_keep_all_rows(spark):
         assert max(sizes.values()) - min(sizes.get(f, 0) for f in range(5)) <= 1
 
 
+def test_strata_must_be_few(spark):
+    with pytest.raises(ValueError):
+        S.train_test_split(spark.range(5000).withColumnRenamed("id", "doc_id"), 0.2, stratify="doc_id")
+
+
 def test_folds_without_labels(spark):
     out = S.assign_folds(spark.range(11).withColumnRenamed("id", "doc_id"), 3, None).collect()
     assert sorted(Counter(r["fold"] for r in out).values()) == [3, 4, 4]

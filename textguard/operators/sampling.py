@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from textguard.functions.hashing import order_key
 
 _ALL = "_all"
+MAX_STRATA = 1000
 
 
 def hash_cuts(
@@ -32,6 +33,9 @@ def hash_cuts(
     ``ranks`` maps the stratum's row count to an array of ranks. Ranks below 1 yield no cut.
     """
     strata = list(strata)
+    if strata and df.select(*strata).distinct().limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        # one row per stratum is broadcast below
+        raise ValueError(f"more than {MAX_STRATA} strata in {strata}: not a label column")
     keys = df.select(*(strata or [F.lit(0).alias(_ALL)]), order_key(id_col, seed).alias("_key"))
     by = strata or [_ALL]
     keys = keys.withColumn("_bucket", F.substring("_key", 1, 4))
@@ -94,8 +98,8 @@ def train_test_split(
 ) -> DataFrame:
     """Add ``split`` in {train, test}; the test part has ``ceil(rows * test_size)`` rows.
 
-    ``stratify`` names a label column whose proportions are kept (its distinct values must be few:
-    one row per value is broadcast). ``exact=False`` thresholds the hash in one pass instead.
+    ``stratify`` names a label column whose proportions are kept (at most ``MAX_STRATA`` distinct
+    values, which is checked, as one row per value is broadcast). ``exact=False`` thresholds the hash in one pass instead.
     """
     key = order_key(id_col, seed)
     if not exact:
