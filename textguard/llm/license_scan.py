@@ -103,9 +103,9 @@ def _sql() -> str:
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''),
-    '(?im){pattern}', ' ', 'g')), '{NOT_WORD}', ' ', 'g'), ' '), x -> x <> '') AS w FROM documents
+    '(?im){pattern}', ' ', 'g')), '{NOT_WORD}', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
 ), g AS (
-  SELECT r, doc_id, CASE WHEN len(w) < 2 THEN [] ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS g FROM d
+  SELECT r, doc_id, CASE WHEN len(w) < 2 THEN [] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d
 ), t(license, tg) AS (VALUES {rows}
 ), s AS (
   SELECT r, license, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM g, t WHERE len(g) > 0 AND len(g) <= 4 * len(tg)

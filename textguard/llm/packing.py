@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textguard.llm.common import materialise
 
@@ -155,7 +156,7 @@ def fill_windows(lengths: np.ndarray, scores: np.ndarray, window: int) -> list[t
 
 
 def _pack(idf: np.ndarray, mean_length: float, window: int):
-    def run(key, shard: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["rid", "start"], kind="stable", ignore_index=True)
         docs = [np.frombuffer(x, "<u2") for x in shard.ids]
         pieces = fill_windows(np.array([len(d) for d in docs]), bm25_scores(docs, idf, mean_length), window)
@@ -186,8 +187,6 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, pa
         raise ValueError("window out of range")
     base = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
     id_type = base.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     sql_type = id_type.simpleString()
     tokens = materialise(base.mapInArrow(_tokenise(path or tokenizer_path(), window, to_arrow_type(id_type)), TAIL_SCHEMA.format(id=sql_type)), "tokens")
     tails = tokens.where("kind = 1")

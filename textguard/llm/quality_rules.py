@@ -158,7 +158,7 @@ WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(text, chr(10)), s -> regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM t
+         list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM t
 ), g AS (
   SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n
   FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)
