@@ -43,6 +43,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(value: Column) -> Column:
+    """The value as a generated column: a caller's filter is not pushed below it, where the optimiser
+    would put the whole expression into every place, lambdas included, that uses the column."""
+    return F.explode(F.array(value))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.common import once
+
 THRESHOLD = 0.8
 DROPPED_LINES = r"(?im)^[^a-z0-9\n]*(?:copyright\b|\(c\)|all rights reserved)[^\n]*$"
 NOT_WORD = "[^a-z0-9]+"
@@ -75,10 +77,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         raise ValueError("threshold must be above 0 and at most 1")
     sets = template_bigrams(TEMPLATES if templates is None else templates)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("w", _words(F.col("text")))
-    base = base.select("doc_id", F.expr(
+    base = base.select("doc_id", once(_words(F.col("text"))).alias("w"))
+    base = base.select("doc_id", once(F.expr(
         "IF(size(w) < 2, CAST(array() AS array<string>), array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))"
-    ).alias("g"))
+    )).alias("g"))
     n = F.size("g")
     scores = []
     for name, grams in sorted(sets.items()):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import WHITE, UPPER, words_of
+from textguard.llm.common import UPPER, once, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -95,7 +95,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ),
     )
     covered = F.expr("size(array_distinct(flatten(transform(g, x -> array(x.i, x.i + 1, x.i + 2)))))")
-    return keys.select("doc_id", *MEASURES[:4], covered.cast("long").alias("n_repeat_words"), *MEASURES[5:])
+    measured = F.struct("doc_id", *MEASURES[:4], covered.cast("long").alias("n_repeat_words"), *MEASURES[5:])
+    return keys.select(once(measured).alias("m")).select("m.*")
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

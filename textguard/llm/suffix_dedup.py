@@ -189,9 +189,12 @@ def keys(id_col: str, text_col: str) -> list:
 
 
 def _with_spans(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str) -> DataFrame:
+    """The rows with their runs in a last column, under names that no input column has."""
+    k1, k2, runs = (f"_suffix_{x}" for x in ("k1", "k2", "runs"))
     spans = factor_spans(docs, length, keep_first, id_col, text_col)
-    packed = spans.groupBy(KEY).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    return docs.select("*", *keys(id_col, text_col)).join(packed, KEY, "left").drop(*KEY)
+    packed = spans.groupBy(KEY).agg(F.collect_set(F.struct("a", "b")).alias(runs)).withColumnsRenamed({"k1": k1, "k2": k2})
+    one, two = keys(id_col, text_col)
+    return docs.withColumn(k1, one).withColumn(k2, two).join(packed, [k1, k2], "left").select(*docs.columns, runs)
 
 
 def _covered(runs, size: int, length: int) -> np.ndarray:
@@ -226,7 +229,7 @@ def summarise(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, i
             )
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return base.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_copies(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +262,7 @@ def strip_copies(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=schema.fieldNames())
 
-    return base.select(*docs.columns, "runs").mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
