@@ -77,14 +77,20 @@ def cached_embedding(
     id_col: str = "doc_id",
     retrain: bool = False,
 ) -> DataFrame:
-    """``build(df)`` stored under a key of corpus, method and all parameters; reused when present.
+    """``build(df)`` stored under a key of all columns of ``df``, method and all parameters; reused when present.
 
-    Retraining bypasses the cache; an unreadable entry is recomputed.
+    The stored frame has the caller's columns, so rows with the same texts and another label or split
+    have another key. Retraining bypasses the cache; an unreadable entry is recomputed.
     """
     if retrain:
         return build(df)
     mark = corpus_fingerprint(df, text_col, id_col).first()
-    key = json.dumps([mark["rows"], mark["digest_sum"], mark["digest_xor"], method, params], sort_keys=True, default=str)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    whole = df.agg(F.sum(row.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(row).alias("parity")).first()
+    key = json.dumps(
+        [mark["rows"], mark["digest_sum"], mark["digest_xor"], df.schema.simpleString(), whole["total"], whole["parity"], method, params],
+        sort_keys=True, default=str,
+    )
     path = f"{root}/{hashlib.sha256(key.encode()).hexdigest()[:32]}"
     spark = df.sparkSession
     try:
