@@ -156,7 +156,7 @@ def test_dispatcher(spark, docs, method, tmp_path):
         (tmp_path / "v.txt").write_text("red 1 0\nsky 0 1\n")
     out = embed(
         docs, method, vector_size=4, glove_path=str(tmp_path / "v.txt") if method == "glove" else None,
-        encoder=V.hashing_encoder(8), stop_words=STOP, cache_root=str(tmp_path / "cache"),
+        encoder=V.hashing_encoder(8), stop_words=STOP, cache_root=str(tmp_path / "cache"), encoder_key="hashing-8",
     )
     assert out.count() == len(CORPUS) and out.schema["features"].dataType.typeName() == "vectorudt"
     with pytest.raises(UnknownMethodError):

@@ -41,15 +41,15 @@ def top_features(spark, sf):
 
 
 def _explained(spark, sf):
-    """The first ten components of a vector play the weights of ten words."""
+    """The components of a vector play the weights of its words."""
     words = F.transform(
-        F.slice("embedding", 1, 10),
+        "embedding",
         lambda x, i: F.struct(F.concat(F.lit("w"), i.cast("string")).alias("word"), x.cast("double").alias("weight")),
     )
     return table(spark, sf, "embeddings").select("vec_id", words.alias("explanation"))
 
 
-_EXPLAINED_SQL = """SELECT vec_id, CAST(generate_subscripts(embedding[1:10], 1) - 1 AS INTEGER) AS rank, CAST(unnest(embedding[1:10]) AS DOUBLE) AS w FROM embeddings"""
+_EXPLAINED_SQL = """SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS rank, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings"""
 
 
 @query(

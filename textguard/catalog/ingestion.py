@@ -92,20 +92,20 @@ def sarcasm_rule(spark, sf):
     return docs.select("doc_id", S.sarcasm_rule("label").alias("type"))
 
 
-_VOTES = "list_transform(embedding[1:5], lambda x: CAST(abs(CAST(floor(x * CAST(10 AS DOUBLE)) AS BIGINT)) % 3 AS INTEGER))"
+_VOTES = "list_transform(embedding, lambda x: CAST(abs(CAST(floor(x * CAST(10 AS DOUBLE)) AS BIGINT)) % 3 AS INTEGER))"
 
 
 @query(
     "majority_label",
-    f"""WITH v AS (SELECT vec_id, unnest({_VOTES}) AS vote, generate_subscripts(embedding[1:5], 1) AS pos FROM embeddings),
+    f"""WITH v AS (SELECT vec_id, unnest({_VOTES}) AS vote, generate_subscripts(embedding, 1) AS pos FROM embeddings),
     c AS (SELECT vec_id, vote, count(*) AS n, min(pos) AS first FROM v GROUP BY vec_id, vote),
     m AS (SELECT vec_id, first(vote ORDER BY n DESC, first) AS vote FROM c GROUP BY vec_id)
     SELECT vec_id, vote AS majority, CASE WHEN vote = 2 THEN 0 ELSE 1 END AS type FROM m""",
 )
 def majority_label(spark, sf):
-    """The first five components of a vector, folded to 0..2, play the annotators' votes."""
+    """The components of a vector, folded to 0..2, play the annotators' votes."""
     votes = F.transform(
-        F.slice("embedding", 1, 5),
+        "embedding",
         lambda x: (F.abs(F.floor(x.cast("double") * F.lit(10.0)).cast("long")) % 3).cast("int"),
     )
     vecs = table(spark, sf, "embeddings").select("vec_id", votes.alias("votes"))

@@ -27,7 +27,7 @@ _LEXICON_RE = r"\b(" + "|".join(LEXICON) + r")\b"
 @query(
     "flagship",
     f"""WITH v AS (SELECT d.doc_id, d.lang, d.text, l.toxic AS type FROM documents d JOIN labels l USING (doc_id)
-    WHERE length(d.text) BETWEEN 3 AND 10000),
+    WHERE length(d.text) >= 3),
   u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM v) WHERE rn = 1),
   f AS (SELECT lang, type, {B.sql_clean('text')} AS clean, {B.sql_stats('text')} FROM u),
   p AS (SELECT lang, type, CASE WHEN regexp_matches(clean, '{_LEXICON_RE}') OR text_capitals > 0.02 * text_chars THEN 1 ELSE 0 END AS pred
@@ -45,7 +45,7 @@ _LEXICON_RE = r"\b(" + "|".join(LEXICON) + r")\b"
 )
 def flagship(spark, sf):
     """Labelled corpus -> dedup -> length -> statistics and cleaning -> rule -> quality per language."""
-    corpus = quality.length_between(B.labelled(spark, sf))
+    corpus = quality.min_length(B.labelled(spark, sf), n=3)
     feats = validate.apply_feature_engineering(quality.dedup_keep_first(corpus))
     rule = F.col("text").rlike(_LEXICON_RE) | (F.col("text_capitals") > 0.02 * F.col("text_chars"))
     scored = feats.select("lang", "type", rule.cast("int").alias("pred"))

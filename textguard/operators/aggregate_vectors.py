@@ -96,6 +96,8 @@ def document_vectors(
     """
     if method not in METHODS:
         raise UnknownMethodError(f"unknown aggregation {method}")
+    # a word listed more than once counts with its smallest vector
+    word_vectors = word_vectors.groupBy("word").agg(F.min("vector").alias("vector"))
     shape = word_vectors.agg(F.count("*").alias("n"), F.first(F.size("vector")).alias("size")).first()
     size = int(shape["size"] or 0)
     schema = StructType([*df.schema.fields, StructField(output, ArrayType(DoubleType()))])
@@ -125,15 +127,19 @@ def _by_lookup(df, word_vectors, method, text_col, schema, size):
 
 
 def _by_join(df, word_vectors, method, text_col, id_col, output, size):
-    words = df.select(id_col, F.explode(split_words(text_col, lowercase=True)).alias("word"))
-    known = words.groupBy(id_col, "word").agg(F.count("*").alias("_n")).join(word_vectors, "word")
+    # rows are told apart by their text too; rows of equal id and text share their vector
+    df = df.withColumn("_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    texts = df.dropDuplicates([id_col, "_text"])
+    words = texts.select(id_col, "_text", F.explode(split_words(text_col, lowercase=True)).alias("word"))
+    known = words.groupBy(id_col, "_text", "word").agg(F.count("*").alias("_n")).join(word_vectors, "word")
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         stack = np.repeat(np.stack(pdf["vector"].map(np.asarray)).astype("float64"), pdf["_n"], axis=0)
-        return pd.DataFrame({id_col: [pdf[id_col].iloc[0]], "_out": [_reduce(stack, method, size)]})
+        return pd.DataFrame({"_id": [pdf[id_col].iloc[0]], "_key": [pdf["_text"].iloc[0]], "_out": [_reduce(stack, method, size)]})
 
     # one group is the words of one document
-    found = known.groupBy(id_col).applyInPandas(run, f"{id_col} {id_type}, _out array<double>")
+    found = known.groupBy(id_col, "_text").applyInPandas(run, f"_id {id_type}, _key string, _out array<double>")
     zeros = F.array_repeat(F.lit(0.0), size)
-    return df.join(found, id_col, "left").withColumn(output, F.coalesce("_out", zeros)).drop("_out")
+    same = df[id_col].eqNullSafe(found["_id"]) & (df["_text"] == found["_key"])
+    return df.join(found, same, "left").withColumn(output, F.coalesce("_out", zeros)).drop("_out", "_id", "_key", "_text")

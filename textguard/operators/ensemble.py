@@ -43,12 +43,12 @@ def combine_routes(routes: Mapping[str, DataFrame], voting: str = "soft", id_col
     routes; only ids present in every route get a vote.
     """
     out = None
-    for frame in routes.values():
-        part = frame.select(id_col, "pred", "proba")
+    for number, frame in enumerate(routes.values()):
+        part = frame.select(id_col, "pred", "proba", F.lit(number).alias("_route"))
         out = part if out is None else out.unionByName(part)
     votes = out.groupBy(id_col).agg(
-        F.count("*").alias("_n"), F.sum("pred").alias("_votes"), F.avg("proba").alias("proba")
-    ).where(F.col("_n") == len(routes))
+        F.count("*").alias("_n"), F.collect_set("_route").alias("_routes"), F.sum("pred").alias("_votes"), F.avg("proba").alias("proba")
+    ).where(F.size("_routes") == len(routes))
     pred = F.col("proba") > 0.5 if voting == "soft" else F.col("_votes") * 2 > F.col("_n")
     return votes.select(id_col, pred.cast("int").alias("pred"), "proba")
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from textguard.functions.hashing import order_key
 
 _ALL = "_all"
-MAX_STRATA = 1000
 
 
 def hash_cuts(
@@ -33,9 +32,6 @@ def hash_cuts(
     ``ranks`` maps the stratum's row count to an array of ranks. Ranks below 1 yield no cut.
     """
     strata = list(strata)
-    if strata and df.select(*strata).distinct().limit(MAX_STRATA + 1).count() > MAX_STRATA:
-        # one row per stratum is broadcast below
-        raise ValueError(f"more than {MAX_STRATA} strata in {strata}: not a label column")
     keys = df.select(*(strata or [F.lit(0).alias(_ALL)]), order_key(id_col, seed).alias("_key"))
     by = strata or [_ALL]
     keys = keys.withColumn("_bucket", F.substring("_key", 1, 4))
@@ -59,8 +55,8 @@ def hash_cuts(
             lambda r: r - F.col("_before"),
         ).alias("_ranks"),
     ).where(F.size("_ranks") > 0)
-    # at most one bucket per stratum and rank: bounded by the number of ranks asked for
-    hits = F.broadcast(hits.select(*[F.col(c).alias(f"_h_{c}") for c in by], F.col("_bucket").alias("_h_bucket"), "_ranks"))
+    # at most one bucket per stratum and rank; adaptive execution broadcasts it while it is small
+    hits = hits.select(*[F.col(c).alias(f"_h_{c}") for c in by], F.col("_bucket").alias("_h_bucket"), "_ranks")
     same = F.col("_bucket") == F.col("_h_bucket")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
@@ -71,10 +67,10 @@ def hash_cuts(
 
 
 def _with_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Attach ``cuts`` (one row per stratum) to every row without moving the rows."""
+    """Attach ``cuts`` (one row per stratum) to every row; the rows stay in place while that table is small."""
     if not strata:
         return df.withColumn("cuts", cuts.select("cuts").scalar())
-    side = F.broadcast(cuts.select(*[F.col(c).alias(f"_c_{c}") for c in strata], "cuts"))
+    side = cuts.select(*[F.col(c).alias(f"_c_{c}") for c in strata], "cuts")
     same = None
     for c in strata:
         term = F.col(c).eqNullSafe(F.col(f"_c_{c}"))
@@ -98,8 +94,8 @@ def train_test_split(
 ) -> DataFrame:
     """Add ``split`` in {train, test}; the test part has ``ceil(rows * test_size)`` rows.
 
-    ``stratify`` names a label column whose proportions are kept (at most ``MAX_STRATA`` distinct
-    values, which is checked, as one row per value is broadcast). ``exact=False`` thresholds the hash in one pass instead.
+    ``stratify`` names a label column whose proportions are kept,
+    whatever the number of its values. ``exact=False`` thresholds the hash in one pass instead.
     """
     key = order_key(id_col, seed)
     if not exact:

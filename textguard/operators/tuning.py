@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,8 @@ SPACES: dict[str, Space] = {
     },
 }
 DEFAULT_TRIALS = {"mlp": 30}
+# What unusable parameters raise; a lost cluster or a failed job is not a failed trial.
+BAD_TRIAL = (ValueError, ArithmeticError, IllegalArgumentException)
 
 
 @dataclass
@@ -93,11 +96,11 @@ def tune(
         trials = list(range(at, min(at + batch, n_trials)))
         try:
             run(trials)
-        except Exception:  # one bad combination must not lose the batch
+        except BAD_TRIAL:  # one bad combination must not lose the batch
             for t in trials:
                 try:
                     run([t])
-                except Exception:
+                except BAD_TRIAL:
                     values[t] = None
     done = [t for t in range(n_trials) if values.get(t) is not None]
     if not done:

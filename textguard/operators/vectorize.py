@@ -136,9 +136,11 @@ def terms_of(model: PipelineModel) -> list[str]:
 
 
 def vectors_long(df: DataFrame, terms: Sequence[str], vector: str = "features", id_col: str = "doc_id") -> DataFrame:
-    """Sparse vectors as (id, term, value); ``terms`` (at most the feature limit) is broadcast."""
-    sparse = F.unwrap_udt(vector)
-    cells = df.select(id_col, F.explode(F.arrays_zip(sparse["indices"].alias("i"), sparse["values"].alias("x"))).alias("c"))
+    """Vectors as (id, term, value), sparse ones by their stored cells; ``terms`` (at most the feature limit) is broadcast."""
+    cell = F.unwrap_udt(vector)
+    n = F.size(cell["values"])
+    places = F.coalesce(cell["indices"], F.slice(F.sequence(F.lit(0), n), F.lit(1), n))
+    cells = df.select(id_col, F.explode(F.arrays_zip(places.alias("i"), cell["values"].alias("x"))).alias("c"))
     names = df.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
     return cells.select(id_col, F.col("c.i").alias("i"), F.col("c.x").alias("value")).join(F.broadcast(names), "i").drop("i")
 

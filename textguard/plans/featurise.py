@@ -53,8 +53,10 @@ def embed(
     encoder: Callable[[], Callable] | None = None,
     stop_words="english",
     cache_root: str | None = None,
+    encoder_key: str | None = None,
 ) -> DataFrame:
-    """Add a vector column ``output``. ``bert`` and ``roberta`` need an ``encoder`` factory."""
+    """Add a vector column ``output``. ``bert`` and ``roberta`` need an ``encoder`` factory, and for the
+    cache an ``encoder_key`` that names the model and all its settings."""
     if method not in METHODS:
         raise UnknownMethodError(f"unknown method {method}")
 
@@ -74,9 +76,11 @@ def embed(
 
     if cache_root is None:
         return build(df)
+    if encoder is not None and encoder_key is None:
+        raise ValueError("a cached encoder needs an encoder_key")
     params: dict[str, Any] = {
         "max_features": max_features, "ngram": ngram, "glove_path": glove_path, "vector_size": vector_size,
-        "aggregation": aggregation, "stop_words": stop_words, "encoder": getattr(encoder, "__qualname__", None),
+        "aggregation": aggregation, "stop_words": stop_words, "encoder": encoder_key, "text_col": text_col, "output": output,
     }
     return cached_embedding(df, method, params, build, cache_root, text_col, retrain=retrain)
 

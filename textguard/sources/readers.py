@@ -135,11 +135,14 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, glob: str, missing: float | None = 0.0) -> DataFrame:
-    """Recap over report CSV files; the file name carries model and embedding."""
+    """Recap over report CSV files, or the folders that ``write_report_csv`` makes; the name of either
+    carries model and embedding. A row that does not parse fails the job."""
+    path = F.col("_metadata.file_path")
+    folder = F.element_at(F.split(path, "/"), -2)
     long = (
-        spark.read.option("mode", "DROPMALFORMED")
+        spark.read.option("mode", "FAILFAST")
         .schema("row string, precision double, recall double, f1 double, support double")
         .csv(glob, header=True, enforceSchema=True)
-        .select("*", F.col("_metadata.file_name").alias("file_name"))
+        .select("*", F.when(folder.endswith("_report.csv"), folder).otherwise(F.col("_metadata.file_name")).alias("file_name"))
     )
     return recap_reports(long, missing=missing)
