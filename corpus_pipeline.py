@@ -12,8 +12,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without a letter go."""
-    out = language_id.identify(docs, language_id.train(docs))
+    """Documents whose language is recognised: texts without a letter go, and texts that decode worse than
+    held-out labelled texts of their length. Without labels there is nothing to compare with: letters decide."""
+    model = language_id.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    out = language_id.identify(docs, language_id.with_limits(docs, model))
     return out.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 

@@ -232,6 +232,20 @@ def test_language_id_held_out(spark, edge, none):
     assert language_id.query(none).count() == 0
 
 
+def test_language_stage_refuses_gibberish_and_keeps_the_rest(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rng = np.random.default_rng(5)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (100, 200, 400, 800)]
+    bad = frame(spark, [(-1 - k, t, None) for k, t in enumerate([*noise, "123 !"])]).select(*corpus_pipeline.COLUMNS)
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.union(bad), "").select("doc_id").collect()}
+    assert got == {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+
+
+def test_language_stage_without_labels_keeps_letters(spark):
+    docs = frame(spark, [(1, SENTENCE, None), (2, "12 !", None), (3, None, None), (4, "été", None)])
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
 def test_codewords_are_apart():
     codes = language_id.codewords(12, 15)
     assert min((codes[a] != codes[b]).sum() for a in range(12) for b in range(a)) >= 3

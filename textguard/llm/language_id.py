@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ SAMPLE_PER_LANGUAGE = 1500
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+# A text is refused when its loss is above both: several times what held-out texts of its length show, and the floor.
+REFUSE_TIMES, REFUSE_FLOOR, REFUSE_QUANTILE, REFUSE_EVIDENCE = 4.0, 0.15, 0.99, 20
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,7 @@ class CodeModel:
     codes: np.ndarray  # languages x bits, -1 or 1
     weights: np.ndarray  # bits x (WIDTH + 1), the last one is the intercept
     trust: np.ndarray  # weight of every bit, from its training error
+    limits: tuple[tuple[int, float], ...] = ()  # (length band, largest loss of a recognised text)
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -107,9 +110,50 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return CodeModel(languages, codes, w.T.copy(), np.log((1 - error) / error))
 
 
+def losses(model: CodeModel, margins: np.ndarray) -> np.ndarray:
+    """Weighted logistic loss to every codeword."""
+    return (np.logaddexp(0, -margins[:, None, :] * model.codes[None]) * model.trust).sum(-1) / model.trust.sum()
+
+
+def margins_of(model: CodeModel, text: str) -> np.ndarray:
+    index, weight = char_ngrams(text, SIZES, WIDTH)
+    return model.weights[:, index] @ weight + model.weights[:, -1]
+
+
+def with_limits(docs: DataFrame, model: CodeModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CodeModel:
+    """The model with the loss up to which a text counts as recognised, by length.
+
+    All labelled texts that training has held out and that are decoded to their label are scored. Lengths
+    fall into bands of powers of two; a band also sees the texts of the two bands on either side. A band of
+    too few texts has no limit.
+    """
+    if not model.languages:
+        return model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands, found = [], []
+            for value, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not _LETTER.search(value):
+                    continue
+                loss = losses(model, margins_of(model, value)[None])[0]
+                if model.languages[int(loss.argmin())] == lang:
+                    bands.append(len(value).bit_length())
+                    found.append(float(loss.min()))
+            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int32()), pa.array(found, pa.float64())], names=["band", "loss"])
+
+    held = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, 4) == 2))
+    scored = held.select(F.col(text_col), F.col(lang_col)).mapInArrow(run, "band int, loss double")
+    near = scored.select(F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2)).alias("band"), "loss")
+    rows = near.groupBy("band").agg(F.count("*").alias("n"), F.percentile_approx("loss", REFUSE_QUANTILE).alias("loss"))
+    # One row per power of two.
+    limits = sorted((r.band, max(REFUSE_FLOOR, REFUSE_TIMES * r.loss)) for r in rows.where(F.col("n") >= REFUSE_EVIDENCE).collect())
+    return replace(model, limits=tuple(limits))
+
+
 def decode(model: CodeModel, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language index, score, margin to the second) by the smallest weighted logistic loss to a codeword."""
-    loss = (np.logaddexp(0, -margins[:, None, :] * model.codes[None]) * model.trust).sum(-1) / model.trust.sum()
+    loss = losses(model, margins)
     z = np.exp(-(loss - loss.min(1, keepdims=True)) * model.codes.shape[1])
     p = z / z.sum(1, keepdims=True)
     order = np.sort(p, 1)
@@ -120,11 +164,13 @@ def identify(docs: DataFrame, model: CodeModel, text_col: str = "text", ambiguou
     """The rows of ``docs`` with ``lang_pred``, ``score`` and ``ambiguous`` added, from whole texts.
 
     Null texts, texts without a letter and any text under a model of no language are ``und`` with score
-    0, and not ambiguous. Equal losses take the first language by name. Columns of these names are replaced.
+    0, and not ambiguous. So are texts whose loss is above the limit of their length, if the model has
+    limits. Equal losses take the first language by name. Columns of these names are replaced.
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
     fields = docs.columns
     at = fields.index(text_col)
+    limits = dict(model.limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +179,9 @@ def identify(docs: DataFrame, model: CodeModel, text_col: str = "text", ambiguou
             for i, value in enumerate(batch.column(at)):
                 text = value.as_py()
                 if text and model.languages and _LETTER.search(text):
-                    index, weight = char_ngrams(text, SIZES, WIDTH)
-                    margins[i] = model.weights[:, index] @ weight + model.weights[:, -1]
-                    known[i] = True
+                    margins[i] = margins_of(model, text)
+                    limit = limits.get(len(text).bit_length())
+                    known[i] = limit is None or losses(model, margins[i : i + 1]).min() <= limit
             if model.languages:
                 best, score, margin = decode(model, margins)
                 lang = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, known)]
