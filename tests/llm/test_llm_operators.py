@@ -143,6 +143,42 @@ def test_suffix_dedup_keeps_the_first_copy(spark):
     assert set(got[3].text) == {"é"} and len(got[3].text) < 500 and got[4].text is None
 
 
+def test_passage_stage_cuts_51_short_words(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    short, part = " ".join(word(2) for _ in range(51)), " ".join(word(6) for _ in range(50))
+    long = " ".join(word(30) for _ in range(14))
+    rows = [(k, f"left{k} {x} right{k}", "en") for k, x in enumerate([short, short, part, part, long, long])]
+    rows += [(6, f"\n{short.replace(' ', '  ')} \t", "en"), (7, None, "en"), (8, "é " * 60 + "end", "fr")]
+    docs = frame(spark, rows).select(*corpus_pipeline.COLUMNS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    assert all(got[k] == rows[k][1] for k in (0, 2, 3, 4)) and got[7] is None
+    assert got[1] == "left1  right1" and got[5] == "left55" and 6 not in got
+    assert got[8].split() == ["é", "end"]
+
+
+@pytest.mark.parametrize("length", [3, 20])
+def test_word_passages_equal_brute_force(spark, length):
+    rng = np.random.default_rng(length)
+    base = [f"w{x}é" for x in rng.integers(0, 400, 200)]
+    rows = []
+    for k in range(40):
+        at = int(rng.integers(0, 150))
+        rows.append((k, " ".join([f"a{k}", *base[at : at + int(rng.integers(2, 45))], f"b{k}", *base[:5], "z"] * int(rng.integers(1, 3))), "en"))
+    seen, want = set(), {}
+    for i, t, _ in rows:
+        w = t.split()
+        gone = set()
+        for a in range(len(w) - length + 1):
+            gram = tuple(w[a : a + length])
+            if gram in seen:
+                gone.update(range(a, a + length))
+            seen.add(gram)
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+    got = suffix_dedup.strip_copies(frame(spark, rows), length, words=True).collect()
+    assert {r.doc_id: r.text.split() for r in got} == want
+
+
 def test_packing_round_trip(spark, edge, none):
     from tokenizers import Tokenizer
 

@@ -12,6 +12,8 @@ smaller one shows that it is itself earlier. The steps:
 3. Segments of one anchor that differ are expanded to their suffixes; these are ordered by class and
    position, which gives the factors.
 4. Spans go back to the documents.
+
+A text is a row of bytes, or with ``words`` a row of word hashes; lengths and places then count words.
 """
 
 from __future__ import annotations
@@ -29,14 +31,33 @@ from textguard.llm.common import materialise, mix
 
 LENGTH = 400
 SEED = 64
+WORD_SEED = 16
 KEY = ["k1", "k2"]
 U64 = np.uint64
 _ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def window_hashes(data: bytes, n: int) -> np.ndarray:
-    """64-bit hash of every window of ``n`` bytes, by doubling: halves of a window are hashed once."""
-    h = mix(np.frombuffer(data, np.uint8).astype(U64) + _ODD[0])
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, 64-bit hash) of every word between white space."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], (b != 0x20) & ((b < 0x09) | (b > 0x0D)), [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    if not len(starts):
+        return starts, ends, np.zeros(0, U64)
+    place = np.arange(len(b)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(b))))])
+    value = np.where(inside[1:-1], mix(b.astype(U64) * _ODD[1] + place.astype(U64) * _ODD[2] + _ODD[0]), U64(0))
+    return starts, ends, mix(np.add.reduceat(value, starts) + (ends - starts).astype(U64))
+
+
+def _units(value: pa.Scalar, words: bool) -> np.ndarray:
+    data = _bytes(value)
+    return word_places(data)[2] if words else np.frombuffer(data, np.uint8)
+
+
+def window_hashes(data: bytes | np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of every window of ``n`` bytes or words, by doubling: halves of a window are hashed once."""
+    data = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    h = mix(data.astype(U64) + _ODD[0])
     size = 1
     while size < n:
         step = min(size, n - size)
@@ -59,7 +80,7 @@ def sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     return values
 
 
-def anchors(data: bytes, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: bytes | np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor of every prefix of ``length`` bytes, hashes at all anchor positions)."""
     h = window_hashes(data, seed)
     w = length - seed + 1
@@ -74,12 +95,12 @@ def _bytes(value: pa.Scalar) -> bytes:
     return (value.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _emit_anchors(length: int, seed: int):
+def _emit_anchors(length: int, seed: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
             for k1, k2, text in zip(*(batch.column(i) for i in range(3))):
-                value, n = np.unique(anchors(_bytes(text), length, seed)[1], return_counts=True)
+                value, n = np.unique(anchors(_units(text, words), length, seed)[1], return_counts=True)
                 for out, x in zip(columns, (value.view(np.int64), np.full(len(value), k1.as_py()), np.full(len(value), k2.as_py()), n)):
                     out.append(x.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns], names=["anchor", "k1", "k2", "n"])
@@ -87,7 +108,7 @@ def _emit_anchors(length: int, seed: int):
     return run
 
 
-def _emit_segments(length: int, seed: int):
+def _emit_segments(length: int, seed: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "pos", "anchor", "start", "stop", "digest", "own", "body"]
         types = [pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary()]
@@ -95,7 +116,7 @@ def _emit_segments(length: int, seed: int):
             types[2] = batch.schema.field(2).type
             rows: list[tuple] = []
             for k1, k2, pos, text, live in zip(*(batch.column(i) for i in range(5))):
-                data, k1, k2, pos = _bytes(text), k1.as_py(), k2.as_py(), pos.as_py()
+                data, k1, k2, pos = _units(text, words), k1.as_py(), k2.as_py(), pos.as_py()
                 low, _ = anchors(data, length, seed)
                 at = np.flatnonzero(np.isin(low, np.array(live.as_py(), np.int64).view(U64)))
                 if not len(at):
@@ -106,7 +127,7 @@ def _emit_segments(length: int, seed: int):
                     body = data[a : z - 1 + length]
                     # A periodic segment can repeat itself: its anchor stands in it more than once.
                     own = int((window_hashes(body, seed) == low[a]).sum()) > 1
-                    rows.append((k1, k2, pos, int(low[a].view(np.int64)), a, z, hashlib.blake2b(body, digest_size=16).digest(), own, body))
+                    rows.append((k1, k2, pos, int(low[a].view(np.int64)), a, z, hashlib.blake2b(body.tobytes(), digest_size=16).digest(), own, body.tobytes()))
                 if len(rows) > 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                     rows = []
@@ -116,11 +137,11 @@ def _emit_segments(length: int, seed: int):
     return run
 
 
-def _emit_suffixes(length: int):
+def _emit_suffixes(length: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k1, k2, pos, start, body in zip(*(batch.column(i) for i in range(5))):
-                data = body.as_py()
+                data = np.frombuffer(body.as_py(), U64 if words else np.uint8)
                 one, two = window_hashes(data, length), window_hashes(data[::-1], length)[::-1]
                 n = len(one)
                 yield pa.RecordBatch.from_arrays(
@@ -136,23 +157,23 @@ def _emit_suffixes(length: int):
     return run
 
 
-def factor_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def factor_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
     """Runs ``[a, b)`` of suffix starts to remove, per document key ``(k1, k2)``.
 
     ``keep_first`` removes starts whose longest previous factor reaches ``length``; otherwise previous or
     next. Positions are ordered by document id, then place in the text.
     """
-    seed = min(SEED, length)
+    seed = min(WORD_SEED if words else SEED, length)
     keyed = docs.select(*keys(id_col, text_col), F.col(id_col).alias("pos"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = keyed.schema["pos"].dataType.simpleString()
     all_anchors = materialise(
-        keyed.select("k1", "k2", "text").mapInArrow(_emit_anchors(length, seed), "anchor long, k1 long, k2 long, n long"), "anchors"
+        keyed.select("k1", "k2", "text").mapInArrow(_emit_anchors(length, seed, words), "anchor long, k1 long, k2 long, n long"), "anchors"
     )
     live = all_anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     by_doc = all_anchors.join(live, "anchor").groupBy(KEY).agg(F.collect_set("anchor").alias("live"))
     segments = materialise(
         keyed.join(by_doc, KEY).select("k1", "k2", "pos", "text", "live").mapInArrow(
-            _emit_segments(length, seed),
+            _emit_segments(length, seed, words),
             f"k1 long, k2 long, pos {id_type}, anchor long, start long, stop long, digest binary, own boolean, body binary",
         ),
         "segments",
@@ -170,7 +191,7 @@ def factor_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
     chosen = segments.join(mixed, ["anchor", "digest"]).where(place == F.col("first")).dropDuplicates(["anchor", "digest"])
     suffixes = materialise(
         chosen.select("k1", "k2", "pos", "start", "body").mapInArrow(
-            _emit_suffixes(length), f"h1 long, h2 long, k1 long, k2 long, pos {id_type}, s long"
+            _emit_suffixes(length, words), f"h1 long, h2 long, k1 long, k2 long, pos {id_type}, s long"
         ),
         "suffixes",
     )
@@ -188,10 +209,10 @@ def keys(id_col: str, text_col: str) -> list:
     return [F.xxhash64(*pair).alias("k1"), F.xxhash64(F.lit("suffix"), *reversed(pair)).alias("k2")]
 
 
-def _with_spans(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str, words: bool = False) -> DataFrame:
     """The rows with their runs in a last column, under names that no input column has."""
     k1, k2, runs = (f"_suffix_{x}" for x in ("k1", "k2", "runs"))
-    spans = factor_spans(docs, length, keep_first, id_col, text_col)
+    spans = factor_spans(docs, length, keep_first, id_col, text_col, words)
     packed = spans.groupBy(KEY).agg(F.collect_set(F.struct("a", "b")).alias(runs)).withColumnsRenamed({"k1": k1, "k2": k2})
     one, two = keys(id_col, text_col)
     return docs.withColumn(k1, one).withColumn(k2, two).join(packed, [k1, k2], "left").select(*docs.columns, runs)
@@ -232,15 +253,26 @@ def summarise(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, i
     return base.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip_copies(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _word_mask(runs, data: bytes, length: int) -> np.ndarray:
+    """Byte mask of the words of the runs and of the white space between two of them."""
+    starts, ends, _ = word_places(data)
+    gone = _covered(runs, len(starts), length)
+    edge = np.zeros(len(data) + 1, np.int64)
+    stops = np.where(np.append(gone[1:], False), np.append(starts[1:], len(data)), ends)
+    np.add.at(edge, starts[gone], 1)
+    np.add.at(edge, stops[gone], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def strip_copies(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
     """The rows of ``docs`` with later copies cut out of the text, and ``n_removed`` bytes added.
 
-    Matches lie within documents. Cuts keep whole characters: a character goes when all its bytes do.
+    ``length`` counts bytes, or with ``words`` words. Matches lie within documents. Cuts keep whole characters: a character goes when all its bytes do.
     Null and short texts stay as they are; rows with equal id and text are one document and share its
     result; an empty table stays empty. A column named ``n_removed`` is replaced.
     """
     docs = docs.drop("n_removed")
-    base = _with_spans(docs, length, keep_first, id_col, text_col)
+    base = _with_spans(docs, length, keep_first, id_col, text_col, words)
     at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField("n_removed", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +283,7 @@ def strip_copies(docs: DataFrame, length: int = LENGTH, keep_first: bool = True,
                 n = 0
                 if runs:
                     data = np.frombuffer(_bytes(text), np.uint8)
-                    mask = _covered(runs, len(data), length)
+                    mask = _word_mask(runs, data.tobytes(), length) if words else _covered(runs, len(data), length)
                     heads = np.flatnonzero((data & 0xC0) != 0x80)
                     whole = np.logical_and.reduceat(mask, heads)
                     mask = np.repeat(whole, np.diff(np.append(heads, len(data))))
