@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup
-from textguard.llm.common import materialise, table, words_of
+from textguard.llm.common import WORD, materialise, table, words_of
 
 PASSAGE_WORDS = 51  # passages of over 50 words
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,11 +23,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar shingle sets: the one that names the group."""
-    found = ngram_join.groups(docs, words=5, percent=80)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*COLUMNS)
-    return kept
+    """One row of each group of similar shingle sets: the first by id, null ids last, and text hash.
+
+    Ids may repeat or be null, so two hashes of id and text name a row; of equal rows with words one stays. Rows
+    without a word belong to no group and all stay.
+    """
+    one, two = suffix_dedup.keys("doc_id", "text")
+    keyed = docs.withColumn("_k1", one).withColumn("_k2", two)
+    keyed = keyed.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "_k1", "_k2"))
+    found = ngram_join.groups(keyed, words=5, percent=80, id_col="_key")
+    keep = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id"))).select("doc_id._k1", "doc_id._k2").distinct()
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    first = keyed.where(worded).drop("_key").dropDuplicates(["_k1", "_k2"]).join(keep, ["_k1", "_k2"], "left_semi")
+    return first.select(*COLUMNS).union(docs.where(~worded).select(*COLUMNS))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,5 +315,15 @@ def test_pipeline_stages(spark, edge, none):
         assert packing.pack(docs).count() >= docs.count()
 
 
+def test_near_copy_stage_keeps_one_row_of_a_group(spark):
+    other = SENTENCE.replace("quick", "slow")
+    rows = [(3, PASSAGE, "en"), (3, PASSAGE, "en"), (3, PASSAGE + " end", "en"), (3, SENTENCE, "en"), (5, PASSAGE, "en"),
+            (None, " ".join(f"n{i}" for i in range(30)), "en"), (None, " ".join(f"n{i}" for i in range(30)), "en"),
+            (None, PASSAGE, "en"), (None, other[40:], "fr"), (7, None, None), (7, "", None)]
+    out = corpus_pipeline.drop_near_copies(spark, frame(spark, rows).select(*corpus_pipeline.COLUMNS), "").collect()
+    assert collections.Counter(r.doc_id for r in out) == {3: 2, None: 2, 7: 2}
+    assert sum((r.text or "").startswith("word0") for r in out) == 1 and len({(r.doc_id, r.text) for r in out}) == len(out)
+
+
 def test_all_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
