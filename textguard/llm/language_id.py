@@ -22,7 +22,7 @@ MAX_LANGUAGES = 500
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 # A text is refused when its loss is above both: several times what held-out texts of its length show, and the floor.
-REFUSE_TIMES, REFUSE_FLOOR, REFUSE_QUANTILE, REFUSE_EVIDENCE = 4.0, 0.15, 0.99, 20
+REFUSE_TIMES, REFUSE_FLOOR, REFUSE_QUANTILE, REFUSE_EVIDENCE = 4.0, 0.25, 0.99, 20
 
 
 @dataclass(frozen=True)
