@@ -11,6 +11,7 @@ from textguard.llm import (
     html_extract,
     language_id,
     license_scan,
+    mixing,
     ngram_join,
     packing,
     quality_classifier,
@@ -39,6 +40,7 @@ def queries() -> dict[str, Query]:
         "op8_ngram_join": _over(ngram_join.query, "documents"),
         "op9_language_id": _over(language_id.query, "documents"),
         "op10_decontamination": _over(decontaminate.query, "documents", "benchmark"),
+        "op12_mixing": _over(mixing.query, "documents"),
     }
 
 
@@ -48,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": license_scan.SQL,
         "op5_url_filters": url_filter.SQL,
         "op8_ngram_join": ngram_join.SQL,
+        "op12_mixing": mixing.SQL,
     }
