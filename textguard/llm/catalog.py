@@ -10,6 +10,7 @@ from textguard.llm import (
     decontaminate,
     html_extract,
     language_id,
+    lexical_search,
     license_scan,
     mixing,
     ngram_join,
@@ -41,6 +42,7 @@ def queries() -> dict[str, Query]:
         "op9_language_id": _over(language_id.query, "documents"),
         "op10_decontamination": _over(decontaminate.query, "documents", "benchmark"),
         "op12_mixing": _over(mixing.query, "documents"),
+        "op13_lexical_search": _over(lexical_search.query, "documents", "benchmark"),
     }
 
 
@@ -51,4 +53,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filters": url_filter.SQL,
         "op8_ngram_join": ngram_join.SQL,
         "op12_mixing": mixing.SQL,
+        "op13_lexical_search": lexical_search.SQL,
     }
