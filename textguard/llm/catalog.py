@@ -19,6 +19,7 @@ from textguard.llm import (
     quality_rules,
     suffix_dedup,
     url_filter,
+    whitening,
 )
 from textguard.llm.common import table
 
@@ -41,6 +42,7 @@ def queries() -> dict[str, Query]:
         "op8_ngram_join": _over(ngram_join.query, "documents"),
         "op9_language_id": _over(language_id.query, "documents"),
         "op10_decontamination": _over(decontaminate.query, "documents", "benchmark"),
+        "op11_whitening": _over(whitening.query, "embeddings"),
         "op12_mixing": _over(mixing.query, "documents"),
         "op13_lexical_search": _over(lexical_search.query, "documents", "benchmark"),
     }
