@@ -64,7 +64,14 @@ def test_pieces_fill_the_blocks(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutation_is_one(spark, n):
-    got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long")).alias("p")).collect()
-    assert sorted(r.p for r in got) == list(range(n))
+    rows = spark.range(n).select(F.col("id").alias("x"), F.lit(n).cast("long").alias("blocks"), F.lit(12345).cast("long").alias("seed"))
+    got = mixing.with_permuted(rows, "block").orderBy("x").collect()
+    assert sorted(r.block for r in got) == list(range(n))
     if n >= 64:
-        assert sum(r.p == k for k, r in enumerate(got)) < n / 8
+        assert sum(r.block == r.x for r in got) < n / 8
+        assert sum(abs(a.block - b.block) <= 2 for a, b in zip(got, got[1:])) < n / 8
+
+
+def test_draws_are_even(spark):
+    counts = collections.Counter(r.draw % 50 for r in mixing.with_draws(spark.range(50_000), "draw", 50).collect())
+    assert len(counts) == 50 and sum((c - 1000) ** 2 / 1000 for c in counts.values()) < 95

@@ -19,13 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textguard.llm.common import WORD, materialise
+from textguard.llm.common import WORD, materialise, once
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # all targets together: 3/2 of all sizes
 CAP = 2
 BLOCK_WORDS = 64
-ROUNDS = 24
+ROUNDS = 12
 SALTS = 64
 PRIME = 2**31 - 1
 # Round constants: powers of two primitive roots of PRIME.
@@ -53,18 +53,27 @@ def _hex(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def permuted(x: Column, n: Column, seed: Column) -> Column:
-    """Pseudorandom permutation of 0..n-1 at ``x``: in every round x and its mirror ``(key - x) mod n`` are
-    swapped or not, as a hash of the larger of them says."""
-    rounds = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(m).cast("long").alias("m")) for a, m in zip(ADD, MULTIPLY)])
+def with_draws(slots: DataFrame, name: str, below: int) -> DataFrame:
+    """Add a pseudorandom number under ``below`` for every ``id``: squares modulo a prime, each step a generated column."""
+    a, b = F.col("_a"), F.col("_b")
+    out = slots.withColumn("_a", once((F.col("id") % PRIME * ADD[0] + MULTIPLY[0] + F.floor(F.col("id") / PRIME)) % PRIME))
+    out = out.withColumn("_b", once((a * a + ADD[1]) % PRIME)).withColumn("_a", once((b * b + a) % PRIME))
+    out = out.withColumn("_b", once((a * a + ADD[2]) % PRIME)).withColumn("_b", once((b * b + a) % PRIME))
+    return out.withColumn(name, (F.col("_a") * PRIME + F.col("_b")) % max(1, below)).drop("_a", "_b")
 
-    def turn(x: Column, r: Column) -> Column:
-        key = ((seed * r["a"]) % PRIME * PRIME + (seed * r["m"]) % PRIME) % n
-        mirror = (key + n - x) % n
-        h = ((F.greatest(x, mirror) % PRIME + 1) * r["m"] + seed) % PRIME
-        return F.when(F.floor((h * h) % PRIME / 1024) % 2 == 1, mirror).otherwise(x)
 
-    return F.aggregate(rounds, x, turn)
+def with_permuted(rows: DataFrame, name: str) -> DataFrame:
+    """Add the image of ``x`` under a pseudorandom permutation of 0..blocks-1 that ``seed`` picks: in every round x and its
+    mirror ``(key - x) mod blocks`` are swapped or not, as a hash of the larger of them says. Every round is
+    a generated column: its steps stay in compiled code, and no filter is pushed into them."""
+    x, mirror, seed, n = F.col("_x"), F.col("_mirror"), F.col("seed"), F.col("blocks")
+    out = rows.withColumn("_x", F.col("x"))
+    for add, multiply in zip(ADD, MULTIPLY):
+        key = ((seed * add) % PRIME * PRIME + (seed * multiply) % PRIME) % n
+        out = out.withColumn("_mirror", (key + n - x) % n)
+        h = ((F.greatest(x, mirror) % PRIME + 1) * multiply + seed) % PRIME
+        out = out.withColumn("_x", once(F.when(h % 2048 >= 1024, mirror).otherwise(x)))
+    return out.withColumnRenamed("_x", name).drop("_mirror")
 
 
 def _carry(ranged: DataFrame, name: str, value: Column) -> DataFrame:
@@ -161,8 +170,7 @@ def _slots(quotas: DataFrame, uses: int, n_sources: int, shard_blocks: int | Non
         "source_no", "low", (F.col("low") + F.col("quota")).alias("high"),
         F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("low") + F.col("quota") - 1) / width))).alias("stretch"),
     )
-    draw = _hex(F.concat(F.lit("slot:"), F.col("id").cast("string")), 12) % max(1, uses)
-    draws = spark.range(uses).select(F.floor(F.col("id") / size).alias("shard"), draw.alias("draw"))
+    draws = with_draws(spark.range(uses), "draw", uses).select(F.floor(F.col("id") / size).alias("shard"), "draw")
     draws = draws.withColumn("stretch", F.floor(F.col("draw") / width)).join(ranges, "stretch").where("draw >= low AND draw < high")
     earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialise(draws.groupBy("shard", "source_no").agg(F.count("*").alias("drawn")), "counts")
@@ -180,8 +188,8 @@ def _slots(quotas: DataFrame, uses: int, n_sources: int, shard_blocks: int | Non
     ).select("source_no", "use", (F.col("under_before") + F.col("use") - F.col("drawn")).alias("z"))
     taken = each.where("use < quota").select("shard", "source_no", "use").union(spare.join(short, "z").select("shard", "source_no", "use"))
     taken = taken.join(state.select("source_no", "seed", "blocks"), "source_no").withColumn("round", F.floor(F.col("use") / F.col("blocks")))
-    seed = (F.col("seed") + F.col("round") * 7919) % PRIME
-    return taken.select("shard", "source_no", "use", "round", permuted(F.col("use") % F.col("blocks"), F.col("blocks"), seed).alias("block"))
+    taken = taken.withColumn("seed", (F.col("seed") + F.col("round") * 7919) % PRIME).withColumn("x", F.col("use") % F.col("blocks"))
+    return with_permuted(taken, "block").select("shard", "source_no", "use", "round", "block")
 
 
 def spans(documents: DataFrame, block_words: int) -> DataFrame:
@@ -254,7 +262,8 @@ WITH m AS (
   SELECT *, coalesce(sum(quota) OVER (ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, sum(quota) OVER () AS uses FROM k
 ), u AS (SELECT CAST(max(uses) AS BIGINT) AS uses FROM o
 ), e AS (
-  SELECT id, ('0x' || substr(md5('slot:' || id), 1, 12))::BIGINT % uses AS draw FROM (SELECT unnest(range(uses)) AS id, uses FROM u)
+  SELECT id, (id % {PRIME} * {ADD[0]} + {MULTIPLY[0]} + id // {PRIME}) % {PRIME} AS a, (a * a + {ADD[1]}) % {PRIME} AS b, (b * b + a) % {PRIME} AS c,
+         (c * c + {ADD[2]}) % {PRIME} AS f, (f * f + c) % {PRIME} AS g, (c * {PRIME} + g) % uses AS draw FROM (SELECT unnest(range(uses)) AS id, uses FROM u)
 ), d AS (
   SELECT o.source_no, row_number() OVER (PARTITION BY o.source_no ORDER BY e.id) - 1 AS use FROM e JOIN o ON draw >= low AND draw < low + quota
 ), c AS (SELECT source_no, use FROM d JOIN o USING (source_no) WHERE use < quota
@@ -263,7 +272,7 @@ WITH m AS (
   SELECT source_no, use % blocks AS x, blocks, (seed0 + use // blocks * 7919) % {PRIME} AS seed, {ADD} AS add_r, {MULTIPLY} AS mul_r FROM c JOIN o USING (source_no)
 ), p AS (
   SELECT source_no, list_reduce(list_prepend(x, range(0, {ROUNDS})), lambda a, r:
-    CASE WHEN ((({_HASH}) * ({_HASH})) % {PRIME}) // 1024 % 2 = 1 THEN {_MIRROR} ELSE a END) AS block FROM b
+    CASE WHEN ({_HASH}) % 2048 >= 1024 THEN {_MIRROR} ELSE a END) AS block FROM b
 ), y AS (SELECT source_no, block, count(*) AS uses FROM p GROUP BY ALL
 ), g AS (
   SELECT m.*, source_no, source_size, target, coalesce(sum(size) OVER (PARTITION BY source_no ORDER BY key, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
