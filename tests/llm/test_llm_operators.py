@@ -282,6 +282,24 @@ def test_language_stage_without_labels_keeps_letters(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
 
 
+def test_clashing_columns_and_ids_of_other_types(spark, edge):
+    rows = [(k, SENTENCE, "en") for k in range(30)] + [(100 + k, "été chaud et long " * 5, "fr") for k in range(30)]
+    docs = frame(spark, rows)
+    for name in ("y", "k", "x", "share", "r", "n", "lang_pred", "held_out", "predicted", "count"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    labels = spark.createDataFrame([(r[0], int(r[0] >= 100), 0) for r in rows], "doc_id long, quality int, y int")
+    assert quality_classifier.query(docs, labels).count() == 60
+    got = language_id.query(docs).collect()
+    assert {r.lang_pred for r in got} == {"en", "fr"}
+    items = spark.createDataFrame([("item-a", PASSAGE)], "item_id string, text string")
+    assert {r.item_id for r in decontaminate.query(edge, items).where("contaminated").collect()} == {"item-a"}
+
+
+def test_many_languages_are_learned(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 9, f"l{k}") for k in range(520)]
+    assert len(language_id.train(frame(spark, rows)).languages) > 300
+
+
 def test_codewords_are_apart():
     codes = language_id.codewords(12, 15)
     assert min((codes[a] != codes[b]).sum() for a in range(12) for b in range(a)) >= 3

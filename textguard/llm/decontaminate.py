@@ -176,4 +176,4 @@ def annotate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = annotate(docs.select("doc_id", "text"), benchmark)
-    return out.select("doc_id", "contaminated", F.round("coverage", 6).alias("coverage"), F.col("benchmark_item").cast("long").alias("item_id"))
+    return out.select("doc_id", "contaminated", F.round("coverage", 6).alias("coverage"), F.col("benchmark_item").cast(benchmark.schema["item_id"].dataType).alias("item_id"))

@@ -18,7 +18,8 @@ SIZES = (1, 2, 3)
 WIDTH = 4096
 CODE_BITS = 15
 SAMPLE_PER_LANGUAGE = 1500
-MAX_LANGUAGES = 500
+MAX_SAMPLE = 12_000
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 # A text is refused when its loss is above both: several times what held-out texts of its length show, and the floor.
@@ -72,20 +73,21 @@ def _dense(rows: list[bytes]) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE, bits: int = CODE_BITS, epochs: int = 30) -> CodeModel:
-    """Fits one logistic classifier per code bit on at most ``sample_per_language`` texts of a language.
+    """Fits one logistic classifier per code bit on at most ``sample_per_language`` texts of a language and
+    about ``MAX_SAMPLE`` texts in all.
 
     The sample (the documented bound on what reaches the driver) takes the smallest hashes of a
     language's ids. Every language of the labelled rows gets a codeword.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, 4) != 2))
-    n = rows.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).count()
-    if n > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    key = F.xxhash64(F.lit("lid"), F.col(id_col))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lid"), F.col(id_col)).alias("k"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # Many languages share the bound of the whole sample.
+    n = counts.count()
+    sample_per_language = max(1, min(sample_per_language, MAX_SAMPLE // max(1, n)))
     # A share of each language's rows, taken by hash, keeps the top-n per language small.
-    size = rows.groupBy(lang_col).count().select(lang_col, (F.lit(3.0 * sample_per_language) / F.col("count")).alias("share"))
-    picked = rows.join(F.broadcast(size), lang_col).where(F.pmod(key, F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    picked = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("k"))
+    size = counts.select("lang", (F.lit(3.0 * sample_per_language) / F.col("n")).alias("share"))
+    picked = rows.join(F.broadcast(size) if n <= BROADCAST_LANGUAGES else size, "lang").where(F.pmod("k", F.lit(1_000_000)) < F.col("share") * 1_000_000)
     picked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("r") <= sample_per_language)
     # Whole texts become features on the executors: at most WIDTH numbers per sampled text come here.
     features = picked.select("lang", "k", "text").mapInArrow(_features, "lang string, k long, x binary")

@@ -17,7 +17,7 @@ from textguard.llm.ngrams import char_ngrams
 PASSAGE_CHARS = 600
 HASHED = 128
 SAMPLE_PER_CLASS = 3000
-BAG = 24
+MAX_PASSAGES = 4096
 HIDDEN = 24
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 N_SHAPE = 12
@@ -31,7 +31,7 @@ def passages(text: str, size: int = PASSAGE_CHARS) -> list[str]:
 
 
 def encode(passage: str) -> np.ndarray:
-    """Shape statistics of a passage and its hashed character trigrams."""
+    """Shape statistics of a passage and its hashed character bigrams."""
     words = _WORD.findall(passage)
     n, chars = max(1, len(words)), max(1, len(passage))
     lower = [w.lower() for w in words]
@@ -119,18 +119,13 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 25, rate: floa
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for value in batch.column(2):
-            parts = passages(value.as_py())
-            if len(parts) > BAG:  # an even selection over the whole text
-                parts = [parts[i] for i in np.linspace(0, len(parts) - 1, BAG).astype(int)]
-            rows.append(np.concatenate([encode(p) for p in parts]).astype("<f4").tobytes())
+        rows = [np.concatenate([encode(p) for p in passages(value.as_py())]).astype("<f4").tobytes() for value in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["y", "k", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_per_class: int = SAMPLE_PER_CLASS) -> MilModel | None:
-    """Fits the model on at most ``sample_per_class`` labelled documents a class, and of each at most
-    ``BAG`` passages spread evenly; both are bounds of the training sample only. None without both classes.
+    """Fits the model on every passage of at most ``sample_per_class`` labelled documents a class; documents of more than
+    ``MAX_PASSAGES`` passages are no part of the sample. Both bound the training sample only. None without both classes.
 
     The sample takes each class's smallest id hashes; documents with crc32(id) mod 5 = 0 are never seen.
     """
@@ -141,7 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     key = F.xxhash64(F.lit("mil"), F.col(id_col))
     bound = F.when(F.col("y") == 1, F.lit(int(share[1] * 1e6))).otherwise(F.lit(int(share[0] * 1e6)))
     marks = marks.where(F.pmod(key, F.lit(1_000_000)) < bound)
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(marks), id_col).select(F.col("y").cast("int").alias("y"), key.alias("k"), F.col(text_col).alias("text"))
+    short = F.length(text_col) <= MAX_PASSAGES * PASSAGE_CHARS
+    texts = docs.where(F.col(text_col).isNotNull() & short).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    marks = marks.select(F.col(id_col).alias("_id"), F.col("y").cast("int").alias("y"), key.alias("k"))
+    rows = texts.join(F.broadcast(marks), "_id").select("y", "k", "text")
     sample = sorted((r.y, r.k, bytes(r.x)) for r in rows.mapInArrow(_bags, "y int, k long, x binary").collect())
     kept = [s for y in (0, 1) for s in [s for s in sample if s[0] == y][:sample_per_class]]
     if len({s[0] for s in kept}) < 2:

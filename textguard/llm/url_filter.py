@@ -27,7 +27,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", prefix_hex: int = 8) -> DataFrame:
     """Per URL: host, path, the rule that decides (host + path) and its verdict; ``default`` without one.
 
-    A URL yields one expression per host suffix and per path length that any rule of the table has. The
+    A URL yields one expression per host suffix that has rules and per path length of those rules. The
     expressions of all distinct (host, path) pairs meet the rules in an equi-join on the first
     ``prefix_hex`` digits of their SHA-256; the full digest then confirms. The longest rule wins, block
     before allow at equal rules. Null and odd URLs have no expression and get the default; repeated rows
@@ -40,12 +40,12 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", id_col: str
     )
     r = r.withColumn("rule", F.concat("rule_host", "rule_path")).withColumn("full", F.sha2("rule", 256))
     r = r.withColumn("short", F.substring("full", 1, prefix_hex))
-    # One row: the different path lengths of the rules, at most as many as a path has characters.
-    lengths = r.agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    # The path lengths of a host's rules, at most as many as a path has characters, come with the host suffix.
+    lengths = r.groupBy(F.col("rule_host").alias("s")).agg(F.collect_set(F.length("rule_path")).alias("lengths"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = base.select("host", "path").distinct().where("host <> ''").crossJoin(F.broadcast(lengths)).select(
-        "host", "path", F.explode(suffixes).alias("s"), "lengths"
+    each = base.select("host", "path").distinct().where("host <> ''").select("host", "path", F.explode(suffixes).alias("s")).join(
+        lengths, "s"
     ).select("host", "path", "s", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
     each = each.withColumn("e", F.concat("s", F.expr("left(path, n)"))).withColumn("digest", F.sha2("e", 256))
     hits = each.join(r, F.substring(each["digest"], 1, prefix_hex) == r["short"]).where(
