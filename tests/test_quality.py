@@ -118,9 +118,12 @@ def test_folds_are_balanced_and_keep_all_rows(spark):
         assert max(sizes.values()) - min(sizes.get(f, 0) for f in range(5)) <= 1
 
 
-def test_strata_must_be_few(spark):
-    with pytest.raises(ValueError):
-        S.train_test_split(spark.range(5000).withColumnRenamed("id", "doc_id"), 0.2, stratify="doc_id")
+def test_many_strata_are_split_exactly(spark):
+    """5,000 strata of four rows: each gives exactly its share to the test part."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 5000).alias("type"))
+    out = S.train_test_split(df, 0.25, stratify="type")
+    counts = out.groupBy("type").agg(F.sum((F.col("split") == "test").cast("int")).alias("test"), F.count("*").alias("n"))
+    assert counts.count() == 5000 and counts.where("test <> 1 OR n <> 4").count() == 0
 
 
 def test_folds_without_labels(spark):

@@ -13,6 +13,7 @@ from textguard.functions.vectors import classify_logits, l2_normalize
 from textguard.operators import aggregate_vectors as A
 from textguard.operators import cooccurrence as C
 from textguard.operators import vectorize as V
+from textguard.operators.cbow import train_cbow
 from textguard.plans.featurise import embed, featurise
 
 CORPUS = [
@@ -129,7 +130,7 @@ def test_exact_median_with_hot_groups_and_ties(spark):
 
 def test_word2vec_skips_rare_words(spark):
     docs = spark.createDataFrame([(i, "alpha beta gamma" + (" rare" if i == 0 else "")) for i in range(30)], "doc_id long, text string")
-    words = V.train_word2vec(docs, vector_size=4, epochs=1)
+    words = train_cbow(docs, vector_size=4, epochs=1)
     assert {r["word"] for r in words.collect()} == {"alpha", "beta", "gamma"}
     out = A.document_vectors(docs, words, "mean").orderBy("doc_id").collect()
     assert np.allclose(out[0]["vector"], out[1]["vector"])  # an unknown word does not dilute the mean

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from textguard.catalog import base as B
@@ -13,6 +16,8 @@ from textguard.operators import tuning
 from textguard.operators.sampling import train_test_split
 from textguard.operators.vectorize import TextVectorizer
 from textguard.plans.train import train
+from textguard.session import shared_folder
+from textguard.sources.registry import load_model
 from textguard.streaming.lockout import LockoutRules
 from textguard.streaming.lockout import lockout as lockout_batch
 
@@ -63,6 +68,25 @@ def predict(spark, sf):
     return out.select("doc_id", "pred", F.round("proba", 4).alias("proba"))
 
 
+@query(
+    "predict_word2vec",
+    "SELECT doc_id, 100 AS dims, TRUE AS is_probability, TRUE AS agrees FROM documents",
+)
+def predict_word2vec(spark, sf):
+    """Word vectors and classifier fitted on the labelled part, saved, loaded and applied to every raw document."""
+    root = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    result = train(
+        corpus(spark, sf), "word2vec", ["logistic_regression"], PARAMS, registry_root=root, save_model="logistic_regression"
+    )
+    model = load_model(spark, root, result.model_id)
+    vectors = model.stages[0].transform(texts(spark, sf).select("doc_id", "text"))
+    out = M.predict(vectors, model.stages[1], 0.5)
+    return out.select(
+        "doc_id", F.size(vector_to_array("features")).alias("dims"), F.col("proba").between(0, 1).alias("is_probability"),
+        (F.col("pred") == (F.col("proba") >= 0.5).cast("int")).alias("agrees"),
+    )
+
+
 @query("stacking")
 def stacking(spark, sf):
     parts = train_test_split(features(spark, sf), 0.2, stratify="type")

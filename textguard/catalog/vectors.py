@@ -11,6 +11,7 @@ from textguard.functions.vectors import classify_logits
 from textguard.operators import aggregate_vectors as A
 from textguard.operators import cooccurrence as C
 from textguard.operators import vectorize as V
+from textguard.operators.cbow import train_cbow, word_counts
 
 N_FEATURES = 500
 
@@ -157,11 +158,29 @@ def softmax_argmax(spark, sf):
     )
 
 
-@query("word2vec_docs")
+_PIECES = f"unnest(regexp_extract_all(text, '{B.P.PIECE}'))"
+_VOCABULARY_SQL = f"SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_PIECES} AS word FROM documents) GROUP BY word HAVING count(*) >= 2"
+
+
+@query("word2vec_vocabulary", _VOCABULARY_SQL)
+def word2vec_vocabulary(spark, sf):
+    return word_counts(texts(spark, sf))
+
+
+@query(
+    "word2vec_docs",
+    f"""WITH v AS ({_VOCABULARY_SQL}), p AS (SELECT doc_id, lower(word) AS word FROM (SELECT doc_id, {_PIECES} AS word FROM documents)),
+    k AS (SELECT doc_id, count(*) AS n FROM p JOIN v USING (word) GROUP BY doc_id)
+    SELECT doc_id, 100 AS dims, k.n IS NULL AS is_zero, TRUE AS is_finite FROM documents LEFT JOIN k USING (doc_id)""",
+)
 def word2vec_docs(spark, sf):
+    """Vectors trained on all documents at the defaults: every text with a known word has one, the others are zero."""
     docs = texts(spark, sf).select("doc_id", "text")
-    out = V.word2vec_embedding(docs, vector_size=16, epochs=2, partitions=8)
-    return out.select("doc_id", F.size("vector").alias("dims"), F.round(F.col("vector")[0], 4).alias("v0"))
+    out = A.document_vectors(docs, train_cbow(docs))
+    return out.select(
+        "doc_id", F.size("vector").alias("dims"), F.forall("vector", lambda x: x == 0).alias("is_zero"),
+        F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e3)).alias("is_finite"),
+    )
 
 
 @query("glove_train")

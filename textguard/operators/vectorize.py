@@ -1,4 +1,4 @@
-"""Bag of words, TF-IDF, word vectors and pluggable encoders.
+"""Bag of words, TF-IDF and pluggable encoders.
 
 Fitting is one aggregation over terms (map-side combined); its result, at most ``max_features``
 terms, is the only thing on the driver. Transforming is a chain of built-in stages applied row by
@@ -11,19 +11,17 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, Word2Vec
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from textguard.errors import UnknownMethodError
-from textguard.functions import text as T
 from textguard.functions.patterns import WORD_CHAR
 from textguard.functions.stopwords import resolve_stop_words
 from textguard.functions.vectors import classify_logits, l2_normalize
-from textguard.operators.aggregate_vectors import document_vectors
 
 TERMS = "_terms"
 
@@ -145,33 +143,6 @@ def vectors_long(df: DataFrame, terms: Sequence[str], vector: str = "features",
     return cells.select(id_col, F.col("c.i").alias("i"), F.col("c.x").alias("value")).join(F.broadcast(names), "i").drop("i")
 
 
-# --- word vectors ----------------------------------------------------------------------------------
-
-
-def train_word2vec(
-    df: DataFrame,
-    text_col: str = "text",
-    vector_size: int = 100,
-    window: int = 5,
-    min_count: int = 2,
-    epochs: int = 10,
-    partitions: int = 1,
-    seed: int = 42,
-) -> DataFrame:
-    """(word, vector) trained on white-space pieces in their original case."""
-    words = df.where(F.col(text_col).isNotNull()).select(T.split_words(text_col).alias("words"))
-    model = Word2Vec(
-        vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=epochs,
-        numPartitions=partitions, seed=seed, inputCol="words", outputCol="v",
-    ).fit(words)
-    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
-
-
-def word2vec_embedding(df: DataFrame, text_col: str = "text", method: str = "mean", output: str = "vector", **training) -> DataFrame:
-    """Document vectors over known words only (a word below ``min_count`` does not dilute the mean)."""
-    return document_vectors(df, train_word2vec(df, text_col, **training), method, text_col, output=output)
-
-
 # --- sentence encoders -----------------------------------------------------------------------------
 
 

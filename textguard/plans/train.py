@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +14,7 @@ from textguard.operators.metrics import classification_report
 from textguard.operators.models import SEED, fit_many, fit_model, known_models, score
 from textguard.operators.sampling import train_test_split
 from textguard.operators.validate import apply_feature_engineering
-from textguard.operators.vectorize import TextVectorizer
-from textguard.plans.featurise import embed
+from textguard.plans.featurise import fit_vectorizer
 from textguard.sources.registry import save_model as store
 from textguard.sources.writers import write_report
 
@@ -24,7 +23,7 @@ from textguard.sources.writers import write_report
 class TrainResult:
     report: DataFrame
     models: dict[str, PipelineModel]
-    vectorizer: PipelineModel | None = None
+    vectorizer: Transformer | None = None
     skipped: list[str] = field(default_factory=list)
     model_id: str | None = None
 
@@ -78,16 +77,15 @@ def train(
 ) -> TrainResult:
     """Cleaned corpus (doc_id, text, type) -> models and reports for one embedding.
 
-    The vectorizer sees the training part only; ``fit_on='all'`` lets it see the whole corpus.
+    The vectorizer, whatever the method, sees the training part only; ``fit_on='all'`` lets it see the whole corpus. It is
+    saved with the classifier, so the stored pipeline scores raw text. ``embedding_options`` are those of ``fit_vectorizer``.
     """
+    if fit_on not in ("train", "all"):
+        raise ValueError(f"fit_on is train or all, not {fit_on}")
     marked = train_test_split(corpus, test_size, seed=seed)
-    vectorizer = None
-    if embedding in ("tfidf", "bow"):
-        seen = marked if fit_on == "all" else marked.where("split = 'train'")
-        vectorizer = TextVectorizer(embedding, max_features=max_features, stop_words=stop_words).fit(seen)
-        features = vectorizer.transform(marked)
-    else:
-        features = embed(marked, embedding, stop_words=stop_words, **embedding_options)
+    seen = marked if fit_on == "all" else marked.where("split = 'train'")
+    vectorizer = fit_vectorizer(seen, embedding, max_features=max_features, stop_words=stop_words, **embedding_options)
+    features = vectorizer.transform(marked)
     result = train_routes(features, embedding, model_keys, params, seed)
     result.vectorizer = vectorizer
     if reports_root:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +27,12 @@ def build_session(app: str = "textguard", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
     A folder of our own is used only where neither the setting nor a checkpoint directory exists
-    (local tests); a checkpoint survives the loss of executors, a cached plan does not.
+    (local tests).
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,9 +41,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="textguard-ckpt-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; it survives the loss of executors, a cached plan does not."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def write_through(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder. A checkpoint computes its plan twice, this does so once, so it suits
+    plans that do much work; columns can be pruned when it is read."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     """Collect a result that must be small; fail rather than pull more than ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
