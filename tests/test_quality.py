@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textguard.errors import DatasetColumnMismatchError
 from textguard.operators import quality as Q
 from textguard.operators import sampling as S
-from textguard.operators.ordered import balanced_buckets, running
+from textguard.operators.ordered import Running, by_ranges, running, scan
 from textguard.operators.validate import apply_feature_engineering, validate_and_preprocess
 
 
@@ -134,9 +134,8 @@ def test_folds_without_labels(spark):
 def test_running_values_equal_brute_force(spark):
     rows = [(i, (i * 7) % 5 if i % 3 else None, i // 10, "k" if i % 2 else None) for i in range(95)]
     df = spark.createDataFrame(rows, "i int, v int, b int, k string")
-    out = running(df, "mx", F.col("v"), "max", ["k"], "b", ["i"])
-    out = running(out, "prev", F.col("v"), "last", ["k"], "b", ["i"], inclusive=False)
-    out = running(out, "n", F.lit(1), "sum", ["k"], "b", ["i"], inclusive=False).collect()
+    values = {"mx": Running(F.col("v"), "max"), "prev": Running(F.col("v"), "last", inclusive=False), "n": Running(F.lit(1), "sum", inclusive=False)}
+    out = running(df, values, ["i"], ["k"], partitions=7).collect()
     assert len(out) == 95
     seen = {}
     for r in sorted(out, key=lambda r: r["i"]):
@@ -148,9 +147,19 @@ def test_running_values_equal_brute_force(spark):
         past.append(r["v"])
 
 
-def test_buckets_follow_the_data(spark):
-    """A third of all rows within one unit of time is still cut into buckets of bounded size."""
-    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id") / 3000.0).otherwise(F.col("id") * 1.0).alias("t"))
-    rows = sorted((r["t"], r["b"]) for r in balanced_buckets(df, "b", F.col("t"), 30).collect())
-    assert [b for _, b in rows] == sorted(b for _, b in rows)
-    assert max(Counter(b for _, b in rows).values()) <= 3 * 3000 / 30
+def test_a_busy_moment_is_spread(spark):
+    """Half of all rows at one moment, and a hot key with two thirds of them: ranges stay even, values exact."""
+    df = spark.range(4000).select(
+        F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, F.lit(5.0)).otherwise(F.col("id") * 1.0).alias("t"),
+        F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
+    )
+    for keys in ([], ["k"]):
+        ranged = by_ranges(df, ["t", "i"], keys, partitions=20)
+        sizes = [r["count"] for r in ranged.groupBy("_part").count().collect()]
+        assert len(sizes) == 20 and max(sizes) <= 2 * 4000 / 20
+        got = scan(ranged, {"n": Running(F.lit(1), "sum"), "top": Running(F.col("i"), "max")}, ["t", "i"], keys).collect()
+        seen = {}
+        for r in sorted(got, key=lambda r: (r["t"], r["i"])):
+            n, top = seen.get(r["k"] if keys else 0, (0, -1))
+            seen[r["k"] if keys else 0] = (n + 1, max(top, r["i"]))
+            assert (r["n"], r["top"]) == (n + 1, max(top, r["i"]))

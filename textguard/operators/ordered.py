@@ -1,13 +1,14 @@
-"""Running values along an order without ranking a whole key in one task.
+"""Running values along an order as a prefix scan over range partitions.
 
-A window partitioned by key alone puts a hot key (or, without a key, everything) into one task.
-Here the order is cut into buckets of about equal row counts: windows run inside (key, bucket),
-bucket totals are carried forward over the few buckets of a key, and the two are combined.
+A window partitioned by key alone puts a hot key (or, without a key, everything) into one task. Here rows
+are dealt by ranges of (keys, order, tie), so a busy moment or a hot key is cut like anything else. Running
+values are computed inside a range, the totals of a key's ranges are carried forward, and the two are combined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -15,17 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textguard.session import expanding_partitions, write_through
 
-def balanced_buckets(df: DataFrame, name: str, column: Column, buckets: int = 200) -> DataFrame:
-    """Add ``name``: the quantile bucket of a numeric ``column``.
+PART = "_part"
 
-    Buckets follow the data, so a busy day is cut finer than a quiet one and no bucket holds much
-    more than its share of all rows, even if one key or one hour has a third of them.
-    """
-    marks = F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10 * buckets)
-    out = df.withColumn("_bounds", df.agg(marks.alias("b")).scalar())
-    place = F.coalesce(F.size(F.filter("_bounds", lambda b: b < column)), F.lit(0))
-    return out.withColumn(name, place).drop("_bounds")
+
+@dataclass(frozen=True)
+class Running:
+    """``how`` is max, sum or last (the latest non-null value), up to each row or, not ``inclusive``, before it."""
+
+    value: Column
+    how: str
+    inclusive: bool = True
 
 
 def seconds(column: str) -> Column:
@@ -33,48 +35,56 @@ def seconds(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1e6)
 
 
-def running(
-    df: DataFrame,
-    name: str,
-    value: Column,
-    how: str,
-    keys: Sequence[str],
-    bucket: str,
-    order: Sequence[str],
-    inclusive: bool = True,
-) -> DataFrame:
-    """Add ``name``: max, sum, or last non-null ``value`` over the rows up to (or before) each row.
+def by_ranges(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """The rows dealt by ranges of (keys, order), written once, with the number of their range in ``_part``.
 
-    ``bucket`` must be a column that never decreases along ``order`` within a key.
+    The last column of ``order`` should break ties: rows that are equal in all of them stay in one range.
     """
-    keys = list(keys)
-    aggs = {
-        "max": lambda c: F.max(c),
-        "sum": lambda c: F.sum(c),
-        "last": lambda c: F.last(c, ignorenulls=True),
-    }
-    if how not in aggs:
-        raise ValueError(f"unknown running value {how}")
-    agg = aggs[how]
-    end = W.currentRow if inclusive else -1
-    inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-    df = df.withColumn("_value", value)
-    if how == "last":
-        place = F.struct(*[F.col(c) for c in order])
-        total = F.max_by("_value", F.when(F.col("_value").isNotNull(), place))
-    else:
-        total = agg("_value")
-    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        df.groupBy(*keys, bucket).agg(total.alias("_total")).withColumn("_carry", agg("_total").over(before)).drop("_total")
+    n = partitions or expanding_partitions(df.sparkSession)
+    return write_through(df.repartitionByRange(n, *keys, *order).withColumn(PART, F.spark_partition_id()))
+
+
+def scan(ranged: DataFrame, values: Mapping[str, Running], order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Add the running values to a frame from :func:`by_ranges` (``_part`` stays, so further scans can follow)."""
+    keys, order = list(keys), list(order)
+    aggs = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}
+    for v in values.values():
+        if v.how not in aggs:
+            raise ValueError(f"unknown running value {v.how}")
+    place = F.struct(*[F.col(c) for c in order])
+    held = ranged.select("*", *[v.value.alias(f"_v{i}") for i, v in enumerate(values.values())])
+
+    def total(i: int, v: Running) -> Column:
+        if v.how == "last":
+            return F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), place)).alias(f"_t{i}")
+        return aggs[v.how](f"_v{i}").alias(f"_t{i}")
+
+    totals = held.groupBy(*keys, PART).agg(*[total(i, v) for i, v in enumerate(values.values())])
+    # a key has a row for each of its ranges at most
+    before = W.partitionBy(*keys).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
+    on = [*keys, PART]
+    carried = totals.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], *[aggs[v.how](f"_t{i}").over(before).alias(f"_c{i}") for i, v in enumerate(values.values())]
+    )
+    inside = W.partitionBy(*on).orderBy(*order)
+    local = held.select(
+        "*",
+        *[
+            aggs[v.how](f"_v{i}").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow if v.inclusive else -1)).alias(f"_l{i}")
+            for i, v in enumerate(values.values())
+        ],
     )
-    on = [*keys, bucket]
-    carried = carried.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], "_carry")
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)])
-    out = df.withColumn("_local", agg("_value").over(inside)).join(carried, same)
+    out = local.join(carried, same)
+    zero = F.lit(0)
     merged = {
-        "max": F.greatest("_local", "_carry"),
-        "last": F.coalesce("_local", "_carry"),
-        "sum": F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0)),
-    }[how]
-    return out.withColumn(name, merged).drop("_value", "_local", "_carry", *[f"_k{i}" for i in range(len(on))])
+        "max": lambda i: F.greatest(f"_l{i}", f"_c{i}"),
+        "last": lambda i: F.coalesce(f"_l{i}", f"_c{i}"),
+        "sum": lambda i: F.coalesce(f"_l{i}", zero) + F.coalesce(f"_c{i}", zero),
+    }
+    return out.select(*ranged.columns, *[merged[v.how](i).alias(name) for i, (name, v) in enumerate(values.items())])
+
+
+def running(df: DataFrame, values: Mapping[str, Running], order: Sequence[str], keys: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """The rows with all running values added in one scan."""
+    return scan(by_ranges(df, order, keys, partitions), values, order, keys).drop(PART)

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.operators.ordered import balanced_buckets, running, seconds
+from textguard.operators.ordered import Running, running
 from textguard.operators.quality import isin_or_null, match_metadata
 
 METRICS = ("accuracy", "precision", "recall", "f1")
@@ -113,11 +113,8 @@ def metric_evolution(
     tests: DataFrame, metric: str, time_col: str = "start_time", tie: str = "run_id", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Test number (from 0) and best value so far in time order (see :mod:`textguard.operators.ordered`)."""
-    order = [time_col, tie]
-    out = balanced_buckets(tests, "_bucket", seconds(time_col))
-    out = running(out, "test_number", F.lit(1).cast("long"), "sum", keys, "_bucket", order, inclusive=False)
-    out = running(out, f"best_{metric}", F.col(metric), "max", keys, "_bucket", order)
-    return out.drop("_bucket")
+    values = {"test_number": Running(F.lit(1).cast("long"), "sum", inclusive=False), f"best_{metric}": Running(F.col(metric), "max")}
+    return running(tests, values, [time_col, tie], keys)
 
 
 def top_words(explanations: DataFrame, k: int = 10, positive: str = "Cyberbullying", negative: str = "Normal") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textguard.operators.ordered import balanced_buckets, running, seconds
+from textguard.operators.ordered import Running, by_ranges, scan, seconds
 
 
 @dataclass(frozen=True)
@@ -71,11 +71,10 @@ def lockout(
         F.col(ok).cast("boolean").alias("ok"),
         seconds(ts).alias("sec"),
     )
-    rows = balanced_buckets(rows, "bucket", F.col("sec"))
     order = ["sec", "tie"]
-    rows = running(rows, "before", F.col("sec"), "last", ["user"], "bucket", order, inclusive=False)
+    rows = scan(by_ranges(rows, order, ["user"]), {"before": Running(F.col("sec"), "last", inclusive=False)}, order, ["user"])
     begins = F.col("before").isNull() | (F.col("sec") - F.col("before") >= pause)
-    rows = running(rows, "session", F.when(begins, F.col("sec")), "last", ["user"], "bucket", order)
+    rows = scan(rows, {"session": Running(F.when(begins, F.col("sec")), "last")}, order, ["user"])
     sessions = rows.repartition("user", "session").sortWithinPartitions("user", "session", "sec", "tie")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
