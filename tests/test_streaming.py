@@ -72,19 +72,30 @@ def test_missing_users_are_kept(spark):
     assert lockout(_attempts(spark, rows)).count() == 2
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = _random_attempts(1)
+def _judged(spark, tmp_path, batches, delay):
     source = str(tmp_path / "in")
-    for part in range(3):  # files in time order become micro-batches
-        _attempts(spark, rows[part * 500 : (part + 1) * 500]).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("event_id long, user_id string, ts timestamp, ok boolean").option("maxFilesPerTrigger", 1).parquet(source)
-    query = (
-        lockout_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination(180)
-    got = {r["event_id"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == _brute(rows, 5, 3600, 900)
+    for rows in batches:
+        _attempts(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("event_id long, user_id string, ts timestamp, ok boolean").option("maxFilesPerTrigger", 1).parquet(source)
+        query = (
+            lockout_stream(stream, delay=delay).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+    return {r["event_id"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def test_shuffled_stream_equals_batch(spark, tmp_path):
+    """Attempts arrive out of order inside the watermark, over restarts: the outcomes are those of the batch form."""
+    rows = _random_attempts(1)[:600]
+    rng = random.Random(7)
+    late = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 1500))
+    assert late != rows
+    end = max(r[2] for r in rows)
+    batches = [late[:250], late[250:], [(9999, "closing", end + 10_000_000, True)]]
+    got = _judged(spark, tmp_path, batches, "1500 seconds")
+    got.pop(9999, None)
+    assert got == _brute(rows, 5, 3600, 900) and "rejected" in got.values()
 
 
 def test_live_scoring_equals_batch(spark, tmp_path):
