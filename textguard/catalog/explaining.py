@@ -12,6 +12,8 @@ from textguard.functions import text as T
 from textguard.operators import explain as X
 from textguard.operators import models as M
 from textguard.operators.reports import top_words as words_by_impact
+from textguard.operators.tree_shap import expected_output
+from textguard.operators.tree_shap import tree_shap as tree_values
 from textguard.plans.train import train
 
 _WEIGHTS = [((j * 7) % 11 - 5) / 10.0 for j in range(64)]
@@ -102,6 +104,19 @@ def lime(spark, sf):
     return X.explanation_rows(out, "item_id").select("item_id", "rank", "word", F.round("weight", 5).alias("weight"))
 
 
+@query("tree_shap", "SELECT item_id, TRUE AS adds_up FROM benchmark")
+def tree_shap(spark, sf):
+    """Exact values of a forest for all benchmark texts: with the expected output they add up to the probability."""
+    docs = corpus(spark, sf)
+    vec = vectorizer().fit(docs)
+    model = M.fit_model(vec.transform(docs), "random_forest", PARAMS["random_forest"])
+    items = vec.transform(table(spark, sf, "benchmark")).select("item_id", "features")
+    values = tree_values(items, model, "item_id").groupBy("item_id").agg(F.sum("value").alias("total"))
+    both = M.score(items, model).join(values, "item_id", "left")
+    gap = F.col("proba") - F.lit(expected_output(model)) - F.coalesce("total", F.lit(0.0))
+    return both.select("item_id", (F.abs(gap) < 1e-9).alias("adds_up"))
+
+
 @query("permutation_shap")
 def permutation_shap(spark, sf):
     """Shapley values of all benchmark texts, reported as the ten strongest features."""
