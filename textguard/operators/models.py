@@ -11,7 +11,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import UnivariateFeatureSelector
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from textguard.errors import UnknownMethodError, UnsupportedParameterError
 from textguard.operators.kernels import KernelFeatures
+from textguard.operators.network import NetworkClassifier
 from textguard.operators.sampling import train_test_split
 
 SEED = 42
@@ -96,8 +96,7 @@ def build_model(
             minInstancesPerNode=p.get("min_child_samples", 20), subsamplingRate=p.get("subsample", 1.0), seed=seed,
         )
     if key == "mlp":
-        hidden = [int(u) for u in p["hidden_layer_sizes"]]
-        return MultilayerPerceptronClassifier(**cols, layers=[n_features, *hidden, 2], maxIter=p["max_iter"], seed=seed)
+        return NetworkClassifier([int(u) for u in p["hidden_layer_sizes"]], p["max_iter"], **cols, seed=seed)
     if p["kernel"] not in ("linear", "rbf", "poly"):
         raise UnsupportedParameterError(f"kernel {p['kernel']}")
     return LinearSVC(
