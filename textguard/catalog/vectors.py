@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from textguard.catalog import base as B
@@ -12,6 +15,9 @@ from textguard.operators import aggregate_vectors as A
 from textguard.operators import cooccurrence as C
 from textguard.operators import vectorize as V
 from textguard.operators.cbow import train_cbow, word_counts
+from textguard.operators.word_models import EncoderModel
+from textguard.session import shared_folder
+from textguard.sources.embedding_store import EmbeddingStore
 
 N_FEATURES = 500
 
@@ -193,3 +199,22 @@ def glove_train(spark, sf):
 def embed_batch(spark, sf):
     out = V.embed_batch(texts(spark, sf).select("doc_id", "text"), V.hashing_encoder(32))
     return out.select("doc_id", F.size("vector").alias("dims"), F.round(F.col("vector")[0], 4).alias("v0"))
+
+
+@query(
+    "cached_embedding",
+    """SELECT d.doc_id, 32 AS dims, s.computed, TRUE AS same FROM documents d, (SELECT CAST(count(*) AS BIGINT) AS computed FROM
+    (SELECT DISTINCT text FROM documents)) s""",
+)
+def cached_embedding(spark, sf):
+    """All documents by a stored encoder after one language was stored first: every different text is computed once."""
+    docs = texts(spark, sf).select("doc_id", "lang", "text")
+    store, stage = EmbeddingStore(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"), EncoderModel.of(V.hashing_encoder, {"size": 32})
+    first = store.add(docs.where("lang = 'en'"), stage)
+    out = store.transform(docs, stage)
+    computed = store.commits().agg(F.sum("rows")).first()[0] or first
+    fresh = stage.transform(docs.select(F.col("doc_id").alias("_id"), F.col("text"))).select("_id", F.col("features").alias("_fresh"))
+    both = out.join(fresh, F.col("doc_id") == F.col("_id"))
+    mine, theirs = vector_to_array("features"), vector_to_array("_fresh")
+    gap = F.aggregate(F.zip_with(mine, theirs, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b)
+    return both.select("doc_id", F.size(mine).alias("dims"), F.lit(computed).cast("long").alias("computed"), (gap < 1e-9).alias("same"))
