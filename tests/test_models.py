@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from textguard.errors import UnknownMethodError, UnsupportedParameterError
@@ -192,3 +193,27 @@ def test_kernel_pipeline_can_be_saved(spark, ring, tmp_path):
 def test_quick_route(corpus):
     result = quick_route(corpus, "bow", ["random_forest"], params={"random_forest": {"n_estimators": 3, "max_depth": 3}}, max_features=20, fit_on="all")
     assert result.report.count() == 5
+
+
+def test_halving_prunes_and_finishes_in_full(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, Vectors.dense([float(k % 2) + rng.normal(scale=0.4), rng.normal()]), k % 2) for k in range(80)]
+    df = spark.createDataFrame(rows, ["doc_id", "features", "type"])
+    assert tuning.rungs(9, 3) == [(9, 1 / 9), (3, 1 / 3), (1, 1.0)] and tuning.rungs(1, 3) == [(1, 1.0)]
+    result = tuning.tune_by_halving(df, "logistic_regression", n_trials=9, cv=2)
+    history = {r["trial"]: r for r in result.history.collect()}
+    assert sorted(history) == list(range(9)) and len({r["params"] for r in history.values()}) == 9
+    assert sorted(r["rung"] for r in history.values()) == [0] * 6 + [1] * 2 + [2]
+    last = next(r for r in history.values() if r["state"] == "COMPLETE")
+    assert last["rung"] == 2 and str(result.best_params) == last["params"] and result.best_score > 0.7
+    # a trial that cannot be fitted loses only itself
+    spaces = iter([{"C": 1.0, "max_iter": 5}, {"C": -1.0, "max_iter": 5}, {"C": 10.0, "max_iter": 5}])
+    mixed = tuning.tune_by_halving(df, "logistic_regression", n_trials=3, cv=2, space=lambda r: next(spaces)).history.collect()
+    assert sorted(r["state"] for r in mixed) == ["COMPLETE", "FAIL", "PRUNED"]
+
+
+def test_every_route_has_one_vote(spark):
+    a = spark.createDataFrame([(1, 1, 0.9), (1, 1, 0.9), (1, 1, 0.9)], "doc_id long, pred int, proba double")
+    b, c = (spark.createDataFrame([(1, 0, 0.2)], "doc_id long, pred int, proba double") for _ in range(2))
+    soft = E.combine_routes({"a": a, "b": b, "c": c}).first()
+    assert soft["pred"] == 0 and soft["proba"] == pytest.approx(1.3 / 3) and E.combine_routes({"a": a, "b": b, "c": c}, "hard").first()["pred"] == 0

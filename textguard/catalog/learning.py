@@ -130,6 +130,17 @@ def _register_tuning() -> None:
 _register_tuning()
 
 
+@query(
+    "tune_halving",
+    """SELECT * FROM (VALUES ('COMPLETE', CAST(2 AS INTEGER), CAST(1 AS BIGINT)), ('PRUNED', 0, 6), ('PRUNED', 1, 2)) t(state, rung, trials)
+    WHERE (SELECT count(*) FROM documents) > 0""",
+)
+def tune_halving(spark, sf):
+    """Nine trials over the full space of the linear model in three rungs: nine, three and one trial."""
+    history = tuning.tune_by_halving(features(spark, sf), "logistic_regression", n_trials=9, cv=2).history
+    return history.groupBy("state", "rung").agg(F.countDistinct("trial").alias("trials"))
+
+
 # --- combination of given predictions ----------------------------------------------------------------
 
 

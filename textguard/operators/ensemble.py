@@ -39,13 +39,15 @@ def one_hot_proba(proba: Column | None, pred: Column) -> Column:
 def combine_routes(routes: Mapping[str, DataFrame], voting: str = "soft", id_col: str = "doc_id") -> DataFrame:
     """Vote over predictions of different embeddings, matched by id.
 
-    Each route brings (id, pred, proba). One union and one grouping by id, whatever the number of
-    routes; only ids present in every route get a vote.
+    Each route brings (id, pred, proba). One union and two groupings, whatever the number of routes; only ids
+    present in every route get a vote. An id that a route holds more than once has the mean probability and the
+    more frequent label there (1 if equally frequent), so every route has one vote.
     """
     out = None
     for number, frame in enumerate(routes.values()):
         part = frame.select(id_col, "pred", "proba", F.lit(number).alias("_route"))
         out = part if out is None else out.unionByName(part)
+    out = out.groupBy(id_col, "_route").agg((F.avg("pred") >= 0.5).cast("int").alias("pred"), F.avg("proba").alias("proba"))
     votes = out.groupBy(id_col).agg(
         F.count("*").alias("_n"), F.collect_set("_route").alias("_routes"), F.sum("pred").alias("_votes"), F.avg("proba").alias("proba")
     ).where(F.size("_routes") == len(routes))
@@ -160,6 +162,16 @@ def fold_scores(
 ) -> DataFrame:
     """(model, fold, n, accuracy, precision, recall, f1) for ``{name: (key, parameters)}``."""
     folded = assign_folds(df, k, label, id_col, seed).persist()
+    try:
+        return folded_scores(folded, members, k, label, seed)
+    finally:
+        folded.unpersist()
+
+
+def folded_scores(
+    folded: DataFrame, members: Mapping[str, tuple[str, Mapping[str, Any]]], k: int = 5, label: str = "type", seed: int = SEED
+) -> DataFrame:
+    """:func:`fold_scores` of a frame that has its folds already; the caller keeps it cached."""
     jobs = {
         (name, f): (lambda key=key, p=p, f=f: fit_model(folded.where(F.col("fold") != f), key, p, seed, cached=True))
         for name, (key, p) in members.items()
@@ -174,8 +186,7 @@ def fold_scores(
         out = part if out is None else out.unionByName(part)
     # k scores per model are all that leaves the cluster
     rows = binary_metrics(out, label, "pred", by=["model", "fold"]).collect()
-    folded.unpersist()
-    return df.sparkSession.createDataFrame(
+    return folded.sparkSession.createDataFrame(
         rows, "model string, fold int, n long, accuracy double, precision double, recall double, f1 double"
     )
 
