@@ -16,8 +16,9 @@ from textguard.llm.common import UPPER, LOWER, shingles
 MIN_MATCH = 5
 COVERAGE = 0.6
 BLOCK_CHARS = 6_000_000
+LOW = (1 << 20) - 1
 _WORD = regex.compile(r"\w+")
-_FOLD = str.maketrans(UPPER, LOWER)
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())  # bytes of other characters are above 0x7F
 
 
 class Vocabulary(dict):
@@ -34,7 +35,7 @@ class Vocabulary(dict):
 
 def tokens(text: str, known: Vocabulary) -> np.ndarray:
     """Values of a text's words, ASCII case folded, punctuation dropped."""
-    found = _WORD.findall(text.translate(_FOLD))
+    found = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "surrogatepass"))
     return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
@@ -105,9 +106,13 @@ class Index:
         owner = np.repeat(np.arange(len(items)), [len(s) for s in sizes])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owner = hashes[order], owner[order]
+        # A bit for the low end of every seed: most windows of a text stop here, without a search.
+        self.low = np.zeros(LOW + 1, bool)
+        self.low[self.hashes & np.uint64(LOW)] = True
 
     def hits(self, doc: np.ndarray) -> list[int]:
-        g = np.unique(grams(doc, self.min_match))
+        g = grams(doc, self.min_match)
+        g = np.unique(g[self.low[g & np.uint64(LOW)]])
         if not len(self.hashes) or not len(g):
             return []
         at = np.searchsorted(self.hashes, g)
