@@ -8,7 +8,9 @@ from textguard.operators import quality
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # these run Arrow functions by design
-PYTHON = {"cooccurrence", "token_vector_lookup", "lockout"}
+PYTHON = {
+    "cooccurrence", "token_vector_lookup", "lockout", "word2vec_docs", "predict_word2vec", "tree_shap", "cached_embedding", "embed_batch",
+}
 NATIVE = sorted(set(ORACLES) - PYTHON)
 
 
