@@ -203,6 +203,20 @@ def test_packing_round_trip(spark, edge, none):
     assert packing.pack(none).count() == 0
 
 
+def test_encoder_equals_the_tokenizers_file(spark):
+    import public_tokenizers
+
+    odd = ["", " ", "\n\n  x", "a" * 5000, "don't  we'll\t1234567", "été \U0001f600\u200d漢字 \x00\x7f", "a <|endoftext|> b", "½²³Ⅷ _-_ \u00a0\u2028 z"]
+    rng = np.random.default_rng(8)
+    odd += ["".join(map(chr, rng.choice([*range(32, 600), 0x2009, 0x3042, 0x1F600], 400))) for _ in range(50)]
+    texts = odd + [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode = packing.Encoder(public_tokenizers.path(name))
+        assert bool(encode.fast) == (name == "byte_bpe_50k.json")
+        for t in texts:
+            assert encode(t).tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_bm25_prefers_shared_rare_words():
     docs = [np.array(x, "<u2") for x in ([1, 2, 3], [1, 9, 9], [1, 2, 3, 4], [7, 8])]
     idf = np.ones(100)
