@@ -83,6 +83,30 @@ def test_cooccurrence_equals_matrix_product(docs, monkeypatch):
         assert {(r["w1"], r["w2"]): r["x"] for r in got} == expect
 
 
+def test_cooccurrence_shuffles_counts_not_products(spark, monkeypatch):
+    """Sums are final where they are made, however many term groups there are; ids may be null or repeat, and no exchange carries pairs."""
+    texts = [(i % 40 if i % 7 else None, " ".join(f"w{(i * i + 3 * k) % 30} w{k % 4}" for k in range(i % 9))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    df, by_id = Counter(), {}
+    for i, t in texts:
+        df.update(set(t.split()))
+        by_id.setdefault(i, Counter()).update(t.split())
+    vocab = {w for w, n in df.items() if 2 <= n <= 0.95 * len(texts)}
+    expect = Counter()
+    for row in by_id.values():
+        expect.update({(a, b): row[a] * row[b] for a in row for b in row if a != b and {a, b} <= vocab})
+    for cells in (4_000_000, 20):
+        monkeypatch.setattr(C, "GROUP_CELLS", cells)
+        out = C.cooccurrence(docs, stop_words=None)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan.split("MapInArrow")[0]
+        rows = out.collect()
+        assert {(r["w1"], r["w2"]): r["x"] for r in rows} == expect and len(rows) == len(expect)
+        half = C.cooccurrence(docs, stop_words=None, mirror=False).collect()
+        assert {(r["w1"], r["w2"]): r["x"] for r in half} == {k: x for k, x in expect.items() if k[0] < k[1]} and 2 * len(half) == len(rows)
+    assert C.cooccurrence(docs.where("text is null")).count() == 0
+
+
 def test_glove_loss_falls_and_recovers_groups(spark, monkeypatch):
     groups = ["cat dog pet", "sun moon star", "bread milk egg"]
     texts = [(i, f"{groups[i % 3]} {groups[i % 3]}" + (" common" if i % 2 else " usual")) for i in range(60)]
