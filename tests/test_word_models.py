@@ -55,6 +55,34 @@ def test_cbow_words_and_reruns(spark):
     assert cbow.train_cbow(docs.where("doc_id = 2"), vector_size=5).count() == 0
 
 
+def test_cbow_leaves_one_parameter_table(spark):
+    """A table of parameters goes when the next one is written, and the changes' shuffle files go with it."""
+    import glob
+
+    from textguard.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    left = []
+    for epochs in (1, 6):
+        before = set(glob.glob(f"{folder}/table-*"))
+        cbow.train_cbow(topics(spark, 60), vector_size=4, epochs=epochs, block_words=100, noise_words=20).count()
+        left.append(len(set(glob.glob(f"{folder}/table-*")) - before))
+    assert left[0] == left[1]
+
+
+@pytest.mark.parametrize("homes", [1, 8])
+def test_cbow_homes_do_not_change_the_vectors(spark, monkeypatch, homes):
+    """Every block starts from the same vectors, whether it shares a home or not."""
+    docs = topics(spark, 300)
+    options = {"vector_size": 6, "epochs": 2, "sample": 0, "block_words": 60, "noise_words": 10}
+    monkeypatch.setattr(cbow, "HOME_BLOCKS", 3)
+    monkeypatch.setattr(cbow, "SHARD_ROWS", 40)
+    want = {r["word"]: r["vector"] for r in cbow.train_cbow(docs, **options).collect()}
+    monkeypatch.setattr(cbow, "HOME_BLOCKS", homes)
+    got = {r["word"]: r["vector"] for r in cbow.train_cbow(docs, **options).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[w], want[w], atol=1e-5) for w in want)
+
+
 def test_descent_lowers_the_loss():
     """A pass moves the score of true words up and that of noise words down."""
     rng = np.random.default_rng(0)
