@@ -55,3 +55,10 @@ def test_text_stays_out_of_the_vocabulary_shuffle(spark, sf):
     docs = B.table(spark, sf, "documents").select(tokenize("text").alias("tok"))
     text = plan(vocabulary(docs, "tok", max_features=10))
     assert "TakeOrderedAndProject" in text and "partial_sum" in text
+
+
+def test_bigrams_are_exchanged_once(spark, sf):
+    """Bigrams are counted by document where the document is; only the counts by bigram are exchanged."""
+    text = plan(QUERIES["bigrams"](spark, sf))
+    exchanges = [block for block in text.split("\n\n") if ") Exchange" in block.strip().split("\n")[0]]
+    assert sum("gram#" in block for block in exchanges) == 1

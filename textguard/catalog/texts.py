@@ -131,7 +131,8 @@ def tokenize(spark, sf):
 )
 def bigrams(spark, sf):
     tok = T.tokenize("text", stop_words=B.STOP_WORDS)
-    grams = texts(spark, sf).select("doc_id", tok.alias("tok")).select(
+    # texts are dealt by id, so the counts of a document need no exchange of its bigrams
+    grams = texts(spark, sf).select("doc_id", "text").repartition("doc_id").select("doc_id", tok.alias("tok")).select(
         "doc_id", F.explode(T.ngrams(F.col("tok"), 2)).alias("gram")
     )
     per_doc = grams.groupBy("gram", "doc_id").agg(F.count("*").alias("tf"))
