@@ -202,3 +202,28 @@ def test_sequence_classifier_batches(docs):
         hit = "red" in (r["text"] or "")
         assert r["pred"] == int(hit) and sum(r["probs"]) == pytest.approx(1.0)
         assert r["confidence"] == pytest.approx(1 / (1 + math.exp(-1)) if hit else 0.5)
+
+
+def test_only_ngrams_of_frequent_words_are_counted(spark):
+    """The vocabulary is that of all n-grams, from far fewer counted terms; ties at the bound and frequent words of one text stay."""
+    rows = [(i, " ".join(f"w{(i * k) % (3 + k)} rare{i}x{k} ww{k % 3}" for k in range(12)) + " solo" * 40 * (i == 3)) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (90, None)], "doc_id long, text string")
+    full = V.SQLTransformer(statement=V.terms_sql("text", (), (1, 2))).transform(docs).select(V.TERMS)
+    single = V.SQLTransformer(statement=V.terms_sql("text", (), (1, 1))).transform(docs).select(V.TERMS)
+    for n in (1, 3, 5, 8, 30, 5000):
+        some = V.frequent_ngrams(single, V.TERMS, 2, 2, 0.95, n)
+        a, b = (V.vocabulary(d, V.TERMS, 2, 0.95, n).collect() for d in (full, some))
+        assert a == b
+        if n < 8:
+            size = lambda d: d.agg(F.sum(F.size(V.TERMS))).first()[0]
+            assert size(some) < size(full) / 2
+
+
+def test_only_words_of_the_texts_are_shipped(spark, docs, monkeypatch):
+    words = spark.range(2000).select(F.concat(F.lit("other"), "id").alias("word"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    words = words.union(spark.createDataFrame([("red", [1.0, -2.0]), ("apple", [0.5, 4.0])], "word string, vector array<double>"))
+    plain = {r["doc_id"]: r["vector"] for r in A.document_vectors(docs, words).collect()}
+    monkeypatch.setattr(A, "LOOKUP_BYTES", 100)
+    out = A.document_vectors(docs, words, broadcast_bytes=1000)  # all words need more, those of the texts less
+    assert "MapInPandas" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["vector"] for r in out.collect()} == plain
