@@ -113,6 +113,34 @@ def test_pigeonhole_never_misses():
                 assert len(np.intersect1d(ngram_join.join_keys(a, 85), ngram_join.join_keys(b, 85)))
 
 
+def test_a_set_has_few_join_keys():
+    tokens = np.unique(np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64))
+    assert len(ngram_join.join_keys(tokens, 85)) < 150
+
+
+def test_large_cells_are_compared_without_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base, rows = [f"t{k}" for k in range(60)], []
+    for k in range(160):  # from near copies of one text to texts that share a part of it
+        text = list(base)
+        for at in rng.choice(60, rng.integers(0, 9), replace=False):
+            text[at] = f"u{rng.integers(1000)}"
+        rows.append((k, " ".join(text)))
+    made, write = {}, ngram_join.materialise
+
+    def noted(df, name):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", noted)
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 32)
+    got = ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_groups(rows, 4, 85)
+    assert made["stars"] <= len(ngram_join.LEADERS) * len(rows) and made["rest"] <= made["cells"] * ngram_join.SMALL / 2
+
+
 def brute_suffix(rows, length):
     seen = collections.Counter(b[i : i + length] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     out = []
