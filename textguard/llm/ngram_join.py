@@ -109,14 +109,20 @@ def _emit_keys(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # spares a task the repeated keys of copies; emptied when large
         for batch in batches:
+            keys, sids, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
             for _, s in _sets(batch, 0, words):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sid)
-                found = join_keys(s, percent).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), sid))], names=["key", "sid"])
+                keys.append(join_keys(s, percent).view(np.int64))
+                sids.append(np.full(len(keys[-1]), sid))
+                size += len(keys[-1])
+                if size > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, sids)], names=["key", "sid"])
+                    keys, sids, size = keys[:1], sids[:1], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, sids)], names=["key", "sid"])
 
     return run
 
