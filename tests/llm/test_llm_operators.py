@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -207,6 +208,81 @@ def test_word_passages_equal_brute_force(spark, length):
     assert {r.doc_id: r.text.split() for r in got} == want
 
 
+def suffix_rows():
+    """Texts that share passages of many lengths, periodic ones, equal rows, null ids."""
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefgh \né"), 1500))
+    rows = []
+    for k in range(60):
+        cut = [int(x) for x in np.sort(rng.integers(0, 1500, 4))]
+        rows.append((k, f"<{k}>" + base[cut[0] : cut[1]] + "".join(rng.choice(list("xyz"), int(rng.integers(0, 90)))) + base[cut[2] : cut[3]], "en"))
+    rows += [(70, "ab" * 700, "en"), (71, "x" + "ab" * 300 + base[:450] * 2, "en"), rows[3], rows[3], (None, rows[5][1], "en"), (None, "-" * 399, "en")]
+    return rows
+
+
+@pytest.mark.parametrize("kinds", [1, 2048])
+@pytest.mark.parametrize("length", [100, 400])
+def test_suffix_groups_and_hot_anchors_equal_brute_force(spark, monkeypatch, length, kinds):
+    monkeypatch.setattr(suffix_dedup, "MAX_KINDS", kinds)
+    rows = suffix_rows()
+    got = suffix_dedup.summarise(frame(spark, rows), length)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_suffix([(i, t) for i, t, _ in rows], length)
+
+
+@pytest.mark.parametrize("kinds", [1, 2048])
+def test_suffix_first_copies_equal_brute_force(spark, monkeypatch, kinds):
+    monkeypatch.setattr(suffix_dedup, "MAX_KINDS", kinds)
+    rows = [r for r in {(i, t): (i, t.replace("é", "e"), x) for i, t, x in suffix_rows() if i is not None}.values()]
+    seen, want = set(), {}
+    for i, t, _ in sorted(rows):
+        gone = np.zeros(len(t), bool)
+        for a in range(len(t) - 199):
+            if t[a : a + 200] in seen:
+                gone[a : a + 200] = True
+            seen.add(t[a : a + 200])
+        want[i] = "".join(c for c, x in zip(t, gone) if not x)
+    got = suffix_dedup.strip_copies(frame(spark, rows), 200)
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_suffix_tables_have_no_row_per_suffix(spark, monkeypatch):
+    # Suffixes of segments with one anchor and differing edges were written as a row each.
+    made = []
+    write = DataFrameWriter.parquet
+
+    def counted(self, path, *args, **options):
+        write(self, path, *args, **options)
+        made.append(spark.read.parquet(path).count())
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    shared = word(1000)
+    rows = [(k, word(900) + shared + word(900), "en") for k in range(40)] + [(50, "a" * 20000, "en")]
+    got = suffix_dedup.summarise(frame(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_suffix([(i, t) for i, t, _ in rows], 400)
+    assert sum(made) < sum(len(t) - 399 for _, t, _ in rows) / 30
+
+
+def test_segments_of_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    text = "".join(np.random.default_rng(7).choice(list("abc"), 5000)) + "ab" * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), pa.array([5, 6]), pa.array([text, ""])], names=["k1", "k2", "pos", "text"])
+
+    def starts():
+        out = set()
+        for part in suffix_dedup._emit_segments(400, 64, False)(iter([batch])):
+            for r in part.to_pylist():
+                for x in r["more"] or [{"a": r["start"], "b": r["start"] + r["size"]}]:
+                    out |= {(r["anchor"], s) for s in range(x["a"], x["b"])}
+        return out
+
+    whole = starts()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    assert starts() == whole and sorted(s for _, s in whole) == list(range(len(text) - 399))
+
+
 def test_packing_round_trip(spark, edge, none):
     from tokenizers import Tokenizer
 
