@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textguard.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup
 from textguard.llm.common import WORD, materialise, table, words_of
+from textguard.session import write_through
 
 PASSAGE_WORDS = 51  # passages of over 50 words
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of over 50 words or of 400 bytes are cut; a document of which no word is left goes."""
     out = suffix_dedup.strip_copies(docs, PASSAGE_WORDS, words=True).withColumnRenamed("n_removed", "n_words_removed")
-    out = suffix_dedup.strip_copies(materialise(out, "words_cut"))
+    out = suffix_dedup.strip_copies(write_through(out))
     left = out.where((F.col("n_removed") + F.col("n_words_removed") == 0) | (F.size(words_of(F.col("text"))) > 0))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
