@@ -264,6 +264,25 @@ def test_suffix_tables_have_no_row_per_suffix(spark, monkeypatch):
     assert sum(made) < sum(len(t) - 399 for _, t, _ in rows) / 30
 
 
+def test_key_bits_keep_every_wanted_row(spark):
+    import pyarrow as pa
+
+    keys = np.random.default_rng(8).integers(-(2**63), 2**63 - 1, 3000)
+    bits = suffix_dedup.key_bits(spark.createDataFrame([(int(k),) for k in keys[:1500]], "k1 long"))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys)], names=["k1"])
+    (kept,) = suffix_dedup._with_bit(bits)(iter([batch]))
+    kept = set(kept.column(0).to_pylist())
+    assert kept >= set(keys[:1500].tolist()) and len(kept) < 1600
+
+
+def test_language_training_keeps_the_sample_sparse(spark, monkeypatch):
+    dense, sizes = language_id._dense, []
+    monkeypatch.setattr(language_id, "_dense", lambda rows: sizes.append(len(rows)) or dense(rows))
+    rows = [(k, f"{'the cat and dog' if k % 2 else 'der hund und katze'} {k}", "en" if k % 2 else "de") for k in range(3000)]
+    model = language_id.train(frame(spark, rows), epochs=1)
+    assert model.languages == ("de", "en") and max(sizes) <= 1024
+
+
 def test_segments_of_long_texts_in_pieces(monkeypatch):
     import pyarrow as pa
 

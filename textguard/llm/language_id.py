@@ -96,19 +96,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return CodeModel((), np.zeros((0, bits)), np.zeros((bits, WIDTH + 1), np.float32), np.ones(bits))
     codes = codewords(len(languages), bits)
-    x = _dense([s[2] for s in sample])
     of = np.array([languages.index(s[0]) for s in sample])
     y = (codes[of] > 0).astype(np.float32)
     balance = (len(sample) / (len(languages) * np.bincount(of, minlength=len(languages))))[of].astype(np.float32)
-    w, g2 = np.zeros((x.shape[1], codes.shape[1]), np.float32), np.full((x.shape[1], codes.shape[1]), 1e-6, np.float32)
+    # The sample stays sparse; only a batch of it is dense at a time.
+    w, g2 = np.zeros((WIDTH + 1, codes.shape[1]), np.float32), np.full((WIDTH + 1, codes.shape[1]), 1e-6, np.float32)
     rng = np.random.default_rng(1)
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 128)):
-            p = 1 / (1 + np.exp(-np.clip(x[at] @ w, -30, 30)))
-            grad = x[at].T @ ((p - y[at]) * balance[at, None]) / len(at) + 1e-6 * w
+        for at in np.array_split(rng.permutation(len(sample)), max(1, len(sample) // 128)):
+            x = _dense([sample[i][2] for i in at])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad = x.T @ ((p - y[at]) * balance[at, None]) / len(at) + 1e-6 * w
             g2 += grad**2
             w -= 0.5 * grad / np.sqrt(g2)
-    error = np.clip(((x @ w > 0) != (y > 0)).mean(0), 0.001, 0.499)
+    side = np.concatenate([_dense([s[2] for s in sample[i : i + 1024]]) @ w > 0 for i in range(0, len(sample), 1024)])
+    error = np.clip((side != (y > 0)).mean(0), 0.001, 0.499)
     return CodeModel(languages, codes, w.T.copy(), np.log((1 - error) / error))
 
 
