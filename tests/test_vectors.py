@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -227,3 +228,37 @@ def test_only_words_of_the_texts_are_shipped(spark, docs, monkeypatch):
     out = A.document_vectors(docs, words, broadcast_bytes=1000)  # all words need more, those of the texts less
     assert "MapInPandas" in out._jdf.queryExecution().executedPlan().toString()
     assert {r["doc_id"]: r["vector"] for r in out.collect()} == plain
+
+
+def test_cooccurrence_keeps_one_copy_of_the_counts(spark, monkeypatch):
+    """However many groups and words there are, nothing is exchanged after the counts are packed, and a count is packed once."""
+    texts = [(f"d{i % 50}" if i % 9 else None, " ".join(f"w{(i * i + 3 * k) % 40} w{k % 5}" for k in range(12))) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    df, by_id = Counter(), {}
+    for i, t in texts:
+        df.update(set(t.split()))
+        by_id.setdefault(i, Counter()).update(t.split())
+    vocab = {w for w, n in df.items() if 2 <= n <= 0.95 * len(texts)}
+    expect = Counter()
+    for row in by_id.values():
+        expect.update({(a, b): row[a] * row[b] for a in row for b in row if a != b and {a, b} <= vocab})
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(C, "GROUP_CELLS", 100)
+    out = C.cooccurrence(docs, stop_words=None)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["w1"], r["w2"]): r["x"] for r in out.collect()} == expect
+    packed = [r for made in _packed_counts(docs, vocab, groups=7) for r in made]
+    assert len(packed) == len(set(packed)) == sum(len(set(row) & vocab) for row in by_id.values())
+
+
+def _packed_counts(docs, vocab, groups):
+    spark = docs.sparkSession
+    codes = docs.select(F.xxhash64("doc_id").alias("doc"), F.transform(F.split("text", " "), lambda t: F.xxhash64(t)).alias("codes"))
+    parts = codes.mapInArrow(C._deal(groups), "doc long, part long, codes array<long>, counts array<int>")
+    names = spark.createDataFrame([(w,) for w in sorted(vocab)], "term string").withColumn("code", F.xxhash64("term"))
+    parts = parts.unionByName(names.withColumn("part", F.pmod("code", F.lit(groups))), allowMissingColumns=True)
+    keyed = parts.repartition(groups, C._own_partitions(spark, groups))
+    assert keyed.select("part", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().agg(F.max("count")).first()[0] == 1
+    for r in keyed.sortWithinPartitions("part").mapInArrow(C._packed, "part long, names binary, rows binary").collect():
+        rows, names = (C._unpack(pa.scalar(bytes(r[c]))) for c in ("rows", "names"))
+        yield [(d["doc"], names.column("term")[i].as_py()) for d in rows.to_pylist() for i in d["ids"]]

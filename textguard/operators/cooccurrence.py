@@ -8,34 +8,41 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions import text as T
 from textguard.functions.stopwords import resolve_stop_words
 from textguard.operators.aggregate_vectors import BROADCAST_BYTES
 from textguard.operators.vectorize import vocabulary
-from textguard.session import cut_lineage, write_through
+from textguard.session import cut_lineage
 
-GROUP_CELLS = 4_000_000  # counts of a group of terms, of which a task holds two
+GROUP_CELLS = 3_000_000  # counts of a group of terms, of which a task holds two
 BUFFER = 1_000_000  # products of rare terms that are sorted at a time
 SLICE = 4096  # counts of a frequent term whose products are added up at a time
 
 
 def _deal(groups: int):
-    """Each document's terms split by the group of the term."""
+    """Each text's counts by term, split by the group of the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts = (batch.column(c).flatten().to_numpy() for c in ("ids", "counts"))
-            row = np.repeat(np.arange(batch.num_rows), batch.column("ids").value_lengths().to_numpy())
-            key = row * groups + ids % groups
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
-            ends = pa.array(np.append(starts, len(order)).astype("int32"))
+            codes = batch.column("codes")
+            row = np.repeat(np.arange(batch.num_rows), codes.value_lengths().to_numpy())
+            if not len(row):
+                continue
+            found = codes.flatten().dictionary_encode()
+            known, at = found.dictionary.to_numpy(), found.indices.to_numpy()
+            key = np.sort((row * groups + (known % groups)[at]) * len(known) + at)
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            counts = np.diff(np.append(first, len(key))).astype("int32")
+            cell, at = np.divmod(key[first], len(known))
+            starts = np.flatnonzero(np.diff(cell, prepend=-1))
+            ends = pa.array(np.append(starts, len(cell)).astype("int32"))
             yield pa.RecordBatch.from_pydict({
-                "doc": batch.column("doc").take(pa.array(row[order[starts]])), "part": key[order[starts]] % groups,
-                "ids": pa.ListArray.from_arrays(ends, ids[order]), "counts": pa.ListArray.from_arrays(ends, counts[order]),
+                "doc": batch.column("doc").take(pa.array(cell[starts] // groups)), "part": cell[starts] % groups,
+                "codes": pa.ListArray.from_arrays(ends, known[at]), "counts": pa.ListArray.from_arrays(ends, counts),
             })
 
     return run
@@ -110,34 +117,70 @@ def _block(left: pa.RecordBatch, right: pa.RecordBatch, same: bool) -> Iterator[
         yield named(ids[first[terms[key // len(names)]]], key % len(names), x)
 
 
-def _blocks(mirror: bool):
-    """Products of rows (cell, side, doc, ids, counts) that are sorted by cell; one cell is held at a time."""
+def _pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(value: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per group of terms, from rows that are sorted by group: its names, and its counts by document and place of the
+    name. Codes without a name are left out; texts of one document are added up."""
+    for group in _groups(batches):
+        named = group.column("term").is_valid()
+        words, rows = group.filter(named), group.filter(pc.invert(named))
+        if not words.num_rows or not rows.num_rows:
+            continue
+        known = words.column("code").to_numpy()
+        order = np.argsort(known)
+        known = known[order]
+        codes, counts = (rows.column(c).flatten().to_numpy() for c in ("codes", "counts"))
+        docs, row = np.unique(rows.column("doc").to_numpy(), return_inverse=True)
+        row = np.repeat(row, rows.column("codes").value_lengths().to_numpy())
+        place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        there = known[place] == codes
+        if not there.any():
+            continue
+        key, counts = _add_up(row[there] * len(known) + place[there], counts[there].astype("int64"))
+        row, place = np.divmod(key, len(known))
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        ends = pa.array(np.append(starts, len(row)).astype("int32"))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place.astype("int32"), counts)]
+        names = pa.RecordBatch.from_pydict({"term": words.column("term").take(pa.array(order))})
+        sums = pa.RecordBatch.from_pydict({"doc": docs[row[starts]], "ids": lists[0], "counts": lists[1]})
+        yield pa.RecordBatch.from_pydict({"part": group.column("part")[:1], "names": pa.array([_pack(names)]), "rows": pa.array([_pack(sums)])})
+
+
+def _products(mirror: bool):
+    """Final sums of pairs of groups; one pair is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _cells(batches):
-            side = cell.column("side").to_numpy()
-            left, right = (cell.filter(pa.array(side == s)) for s in (0, 1))
-            same = bool(cell.column("same")[0].as_py())
-            right = left if same else right
-            if not left.num_rows or not right.num_rows:
-                continue
-            for i, j, x in _block(left, right, same):
-                if mirror:
-                    i, j, x = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([x, x])
-                yield pa.RecordBatch.from_pydict({"i": i, "j": j, "x": x})
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right, names, other_names = (_unpack(batch.column(c)[k]) for c in ("rows", "other_rows", "names", "other_names"))
+                for i, j, x in _block(left, right, batch.column("part")[k] == batch.column("other")[k]):
+                    w1, w2 = names.column("term").take(pa.array(i)), other_names.column("term").take(pa.array(j))
+                    yield pa.RecordBatch.from_pydict({"w1": w1, "w2": w2, "x": x})
+                    if mirror:
+                        yield pa.RecordBatch.from_pydict({"w1": w2, "w2": w1, "x": x})
 
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a cell as one batch."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a group as one batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        cell = batch.column("cell").to_numpy()
-        cuts = [*np.flatnonzero(np.diff(cell, prepend=cell[:1])), batch.num_rows]
+        part = batch.column("part").to_numpy()
+        cuts = [*np.flatnonzero(np.diff(part, prepend=part[:1])), batch.num_rows]
         begin = 0
         for end in cuts:
-            if held and end > begin and held[-1].column("cell")[0] != batch.column("cell")[begin]:
+            if held and end > begin and held[-1].column("part")[0] != batch.column("part")[begin]:
                 yield pa.concat_batches(held)
                 held = []
             if end > begin:
@@ -147,6 +190,13 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def _own_partitions(spark: SparkSession, groups: int) -> Column:
+    """A key for every ``part``, such that hashing to ``groups`` partitions gives each part one of its own."""
+    hashed = spark.range(64 * groups).groupBy(F.pmod(F.hash("id"), F.lit(groups)).alias("to")).agg(F.min("id").alias("id"))
+    found = {r["to"]: r["id"] for r in hashed.collect()}
+    return F.element_at(F.array(*[F.lit(found.get(part, part)).cast("long") for part in range(groups)]), (F.col("part") + 1).cast("int"))
+
+
 def cooccurrence(
     df: DataFrame,
     text_col: str = "text",
@@ -158,38 +208,29 @@ def cooccurrence(
 ) -> DataFrame:
     """(w1, w2, x): sum over documents of the product of the two words' counts, diagonal left out.
 
-    The vocabulary is cut by ``min_df``/``max_df`` first and numbered (checkpointed, so that the
-    numbers stay the same if a task is repeated). Terms are dealt to groups, and one task has all
-    counts of two groups, so it makes final sums: counts are shuffled, products never. The number of groups
-    follows the number of counts, which bounds a task's memory.
+    The vocabulary is cut by ``min_df``/``max_df`` first; terms are told apart by 64-bit codes, and so are documents whose ids
+    are no integers. Terms are dealt to groups, and one task has all counts of two groups and their words, so it makes final
+    sums: counts are shuffled, products never. The number of groups follows the number of counts, which bounds a task's
+    memory. A group is packed into one row of a checkpoint that the tasks read again, so that a count is shuffled and kept
+    once, however many groups its own meets.
     """
     spark = df.sparkSession
     words = resolve_stop_words(stop_words)
     docs = df.select(id_col, F.coalesce(T.tokenize(text_col, stop_words=words, min_chars=1), F.array()).alias("tok"))
-    vocab = cut_lineage(vocabulary(docs, "tok", min_df, max_df).select("term", F.monotonically_increasing_id().alias("id")))
-    tf = docs.select(id_col, F.explode("tok").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
-    small = vocab.count() * 96 <= BROADCAST_BYTES // 4
-    side = F.broadcast if small else lambda frame: frame
-    terms = F.array_sort(F.collect_list(F.struct("id", "n")))
-    rows = tf.join(side(vocab), "term").groupBy(id_col).agg(terms.alias("t")).where(F.size("t") > 1)
-    rows = write_through(rows.select(F.monotonically_increasing_id().alias("doc"), F.col("t.id").alias("ids"), F.col("t.n").alias("counts")))
-    cells = rows.agg(F.sum(F.size("ids"))).first()[0] or 0
+    vocab = cut_lineage(vocabulary(docs, "tok", min_df, max_df).select("term", F.xxhash64("term").alias("code"), "df"))
+    cells = vocab.agg(F.sum("df")).first()[0] or 0
     groups = max(math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism)), math.ceil(cells / GROUP_CELLS))
-    parts = rows.mapInArrow(_deal(groups), "doc long, part long, ids array<long>, counts array<long>")
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    parts = parts.select(
-        (F.least("part", "other") * groups + F.greatest("part", "other")).alias("cell"), (F.col("part") > F.col("other")).cast("int").alias("side"),
-        (F.col("part") == F.col("other")).alias("same"), "doc", "ids", "counts",
-    )
-    # a cell is much work on few bytes, so cells keep tasks of their own
-    parts = parts.repartition(2 * groups * groups, "cell").sortWithinPartitions("cell")
-    pairs = parts.mapInArrow(_blocks(mirror), "i long, j long, x long")
-    named = pairs.join(side(vocab.select(F.col("id").alias("i"), F.col("term").alias("w1"))), "i").join(
-        side(vocab.select(F.col("id").alias("j"), F.col("term").alias("w2"))), "j"
-    )
+    codes = docs.select(F.xxhash64(id_col).alias("doc"), F.transform("tok", lambda t: F.xxhash64(t)).alias("codes"))
+    parts = codes.mapInArrow(_deal(groups), "doc long, part long, codes array<long>, counts array<int>")
+    names = vocab.select(F.pmod("code", F.lit(groups)).alias("part"), "code", "term")
+    parts = parts.unionByName(names, allowMissingColumns=True).repartition(groups, _own_partitions(spark, groups)).sortWithinPartitions("part")
+    packed = cut_lineage(parts.mapInArrow(_packed, "part long, names binary, rows binary"))
+    other = packed.select(F.col("part").alias("other"), F.col("names").alias("other_names"), F.col("rows").alias("other_rows"))
+    both = packed.join(other.hint("shuffle_replicate_nl"), F.col("part") <= F.col("other"))
+    pairs = both.mapInArrow(_products(mirror), "w1 string, w2 string, x long")
     if mirror:
-        return named.select("w1", "w2", "x")
-    return named.select(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2"), "x")
+        return pairs
+    return pairs.select(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2"), "x")
 
 
 # --- vectors from co-occurrences -------------------------------------------------------------------
