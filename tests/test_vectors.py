@@ -262,3 +262,16 @@ def _packed_counts(docs, vocab, groups):
     for r in keyed.sortWithinPartitions("part").mapInArrow(C._packed, "part long, names binary, rows binary").collect():
         rows, names = (C._unpack(pa.scalar(bytes(r[c]))) for c in ("rows", "names"))
         yield [(d["doc"], names.column("term")[i].as_py()) for d in rows.to_pylist() for i in d["ids"]]
+
+
+def test_many_vectors_stay_off_the_driver(spark):
+    """A table of some ten thousand vectors is joined by default, not collected and shipped; texts need no id for it."""
+    words = spark.range(40_000).select(F.concat(F.lit("w"), "id").alias("word"), F.array_repeat((F.col("id") / 7).cast("float"), 100).alias("vector"))
+    docs = spark.range(41).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.concat(F.lit("W"), k + F.col("id") * 1000))).alias("text"))
+    docs = docs.union(spark.createDataFrame([(None,), ("w1 w3 unknown w3",)], "text string"))
+    out = A.document_vectors(docs, words)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString() and out.columns == ["text", "vector"]
+    expect = A.document_vectors(docs, words, broadcast_bytes=1 << 30)
+    assert "MapInPandas" in expect._jdf.queryExecution().executedPlan().toString()
+    got, want = ({r["text"]: r["vector"] for r in d.collect()} for d in (out, expect))
+    assert len(got) == 43 and got == want and want["w1 w3 unknown w3"][0] == pytest.approx(1 / 3)
